@@ -20,8 +20,10 @@ from castgraph.llm import bpe
 LIMIT, OVERLAP = 1024, 64
 #: A cut may lie this share of a piece's length away from its target.
 SLACK = 0.15
-#: A word of the pattern longer than this is itself cut: so many code points never take more tokens than LIMIT.
+#: A word of the pattern with more code points than this is itself cut.
 LONGEST_WORD = 200
+#: Code points of the parts of such a word.
+PART = 24
 
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n|[  ]")
 _SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*\Z")
@@ -33,8 +35,8 @@ def _fit(words: list[str]) -> tuple[list[str], np.ndarray]:
         return words, np.zeros(len(words), dtype=bool)
     out, inside = [], []
     for w in words:
-        for i in range(0, len(w), LONGEST_WORD):
-            out.append(w[i : i + LONGEST_WORD])
+        for i in range(0, len(w), PART if len(w) > LONGEST_WORD else len(w)):
+            out.append(w[i : i + PART] if len(w) > LONGEST_WORD else w)
             inside.append(i > 0)
     return out, np.array(inside)
 

@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castgraph.llm import bpe, leaks, pieces, textnorm
+from castgraph.llm import bpe, leaks, pieces, reflist, textnorm
 from castgraph.session import table
 
 
+def _mapped(spark: SparkSession, folder: str) -> DataFrame:
+    return reflist.map_campaigns(table(spark, folder, "wiki_campaigns"), table(spark, folder, "games"), table(spark, folder, "credit_fields"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _mapped(spark, folder).drop("value")
+
+
+def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Values without an entry, with their numbers of rows."""
+    return reflist.unmatched_report(_mapped(spark, folder))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return textnorm.canonical_names(table(spark, folder, "people")).where("is_case").select("rec_no", "pos")
 
@@ -43,7 +56,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_pieces(spark, folder).where(F.col("piece_no") == 0).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_names, p8_ids, p9_found, p9_leaks, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p6_found, p6_names, p8_ids, p9_found, p9_leaks, p10_found, p10_pieces)}
 
 ORACLE = {
     "p9_found": r"""

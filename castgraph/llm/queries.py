@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castgraph.llm import bpe, leaks, pieces, reflist, textnorm
+from castgraph.llm import bpe, leaks, matching, names, pieces, reflist, survivorship, textnorm
 from castgraph.session import table
 
 
@@ -22,6 +22,38 @@ def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return reflist.unmatched_report(_mapped(spark, folder))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.person_links(table(spark, folder, "people"), table(spark, folder, "wiki_campaigns"), table(spark, folder, "shows"))
+
+
+def _survivors(spark: SparkSession, folder: str) -> DataFrame:
+    people = table(spark, folder, "people")
+    groups, _ = names.same_people(people, table(spark, folder, "wiki_campaigns"), table(spark, folder, "shows"))
+    return survivorship.best_representatives(people, groups)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _survivors(spark, folder).select("group_id", "name_rec", "qid_rec", "image_rec")
+
+
+def p3_survivors(spark: SparkSession, folder: str) -> DataFrame:
+    """The surviving record of each person, with its values."""
+    return _survivors(spark, folder).select("group_id", "name", "qid", F.col("image.url").alias("image_url"))
+
+
+def _matched(spark: SparkSession, folder: str) -> DataFrame:
+    return matching.match_programmes(*[table(spark, folder, t) for t in ("shows", "people", "title_basics", "title_principals", "name_basics")])
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return matching.matches(_matched(spark, folder)).select("show_id", "tconst")
+
+
+def p4_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Every candidate pair with its evidence and marginal probability."""
+    return _matched(spark, folder).withColumn("confidence", F.round("confidence", 4)).withColumn("log_odds", F.round("log_odds", 4))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return textnorm.canonical_names(table(spark, folder, "people")).where("is_case").select("rec_no", "pos")
 
@@ -56,7 +88,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_pieces(spark, folder).where(F.col("piece_no") == 0).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p6_found, p6_names, p8_ids, p9_found, p9_leaks, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p3_found, p3_survivors, p4_found, p4_confidence, p6_found, p6_names, p8_ids, p9_found, p9_leaks, p10_found, p10_pieces)}
 
 ORACLE = {
     "p9_found": r"""

@@ -38,7 +38,7 @@ def deletions(word: str) -> set[str]:
 
 def title_keys(title: str) -> list[str]:
     """Keys of which two titles share one if they share two telling words, one of them up to an edit; a lone word is its own key."""
-    words = sorted(set(title_words(title)))[:12] if len(set(title_words(title))) > 12 else sorted(set(title_words(title)))
+    words = sorted(set(title_words(title)))
     if len(words) == 1:
         return sorted(f"{d}|" for d in deletions(words[0]))
     return sorted({f"{d}|{b}" for a in words for b in words if a != b for d in deletions(a)})
@@ -73,11 +73,13 @@ def similarity(a: str, b: str) -> float:
         return 0.0
     left, errors, matched = list(two), 0, 0
     for w in one:
-        found = min(((swaps_distance(w, v, budget(len(w) + 1)), n) for n, v in enumerate(left)), default=(99, 0))
-        if found[0] <= budget(max(len(w), len(left[found[1]]) if left else 0)):
-            errors += found[0]
+        near = [(swaps_distance(w, v, budget(max(len(w), len(v)))), n) for n, v in enumerate(left)]
+        near = [(d, n) for d, n in near if d <= budget(max(len(w), len(left[n])))]
+        if near:
+            d, n = min(near)
+            errors += d
             matched += 1
-            del left[found[1]]
+            del left[n]
     if matched < len(one):
         return 0.6 * matched / len(two) if matched >= 2 else 0.0
     return max(0.0, (1.0 if len(one) == len(two) else 0.55 + 0.3 * len(one) / len(two) if len(one) > 1 else 0.35) - 0.03 * errors)

@@ -353,25 +353,40 @@ def _rarity(spellings: DataFrame) -> DataFrame:
     return names.select("name").join(rare, "name", "left").select("name", F.greatest(F.coalesce("log_p", F.lit(0.0)), F.lit(-40.0)).alias("log_p"))
 
 
-def attribute(people: DataFrame, campaigns: DataFrame, shows: DataFrame) -> tuple[DataFrame, DataFrame]:
+@dataclass(frozen=True)
+class Spellings:
+    """What the attribution reads, each written once: spellings and casts of people, mentions and their shows, rarity of names."""
+
+    spelt: DataFrame
+    cast: DataFrame
+    wiki: DataFrame
+    pages: DataFrame
+    rarity: DataFrame
+
+
+def prepare(people: DataFrame, campaigns: DataFrame, shows: DataFrame) -> Spellings:
+    spelt, wiki = cut(person_spellings(people)), cut(mentions(campaigns))
+    shown = cut(shows.where(F.col("id").isNotNull()).select("id", "title").distinct())
+    cast = cut(known_shows(cut(person_shows(people)), shown))
+    return Spellings(spelt, cast, wiki, cut(campaign_shows(campaigns, shown)), cut(_rarity(spelt.select("name").unionByName(wiki.select("name")))))
+
+
+def attribute(people: DataFrame, given: Spellings) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between ids of one person, and (key, id) of wiki mentions and ids they mean.
 
     Everything is keyed by show: spellings that occur in a show are its nodes, however many records use them, and only nodes of one
     show that share a name key are compared. A hot show or name thus gives no group of all its pairs.
     """
-    spelt, cast = person_spellings(people), cut(known_shows(person_shows(people), shows))
-    wiki = mentions(campaigns)
-    pages = campaign_shows(campaigns, shows)
-    of_people = cut(spelt.join(cast, "id").select("show", "name", "id"))
-    of_wiki = cut(wiki.join(pages, "campaign_id").select("show", "name", "key"))
-    rarity = _rarity(spelt.select("name").unionByName(wiki.select("name")))
+    cast = given.cast
+    of_people = cut(given.spelt.join(cast, "id").select("show", "name", "id"))
+    of_wiki = cut(given.wiki.join(given.pages, "campaign_id").select("show", "name", "key"))
 
     nodes = of_people.groupBy("show", "name").agg(F.count_distinct("id").alias("n_ids"), F.min("id").alias("least"), F.lit(0).alias("n_keys")).unionByName(
         of_wiki.groupBy("show", "name").agg(F.lit(0).cast("long").alias("n_ids"), F.lit(None).cast("string").alias("least"), F.count(F.lit(1)).cast("int").alias("n_keys"))
     )
     nodes = nodes.groupBy("show", "name").agg(F.sum("n_ids").alias("n_ids"), F.min("least").alias("least"), F.sum("n_keys").alias("n_keys"))
     sizes = cast.groupBy("show").agg(F.count(F.lit(1)).alias("cast_size"))
-    nodes = nodes.join(sizes, "show", "left").join(rarity, "name")
+    nodes = nodes.join(sizes, "show", "left").join(given.rarity, "name")
     nodes = nodes.withColumn("fullness", _per_name("name", "int", lambda t: read_name(t).fullness))
     nodes = cut(nodes.withColumn("node", F.xxhash64("show", "name")))
 
@@ -379,6 +394,7 @@ def attribute(people: DataFrame, campaigns: DataFrame, shows: DataFrame) -> tupl
     keyed = nodes.join(keyed, "name").select("node", (F.col("n_ids") > 0).alias("known"), F.xxhash64("show", "k").alias("k"))
     left, right = keyed.select("k", F.col("node").alias("v"), F.col("known").alias("v_known")), keyed.where("known").select("k", F.col("node").alias("c"))
     pairs = left.join(right, "k").where((F.col("v") != F.col("c")) & (~F.col("v_known") | (F.col("v") < F.col("c")))).select("v", "c").distinct()
+    pairs = cut(pairs)
 
     def side(prefix: str) -> DataFrame:
         return nodes.select(*[F.col(c).alias(f"{prefix}_{c}") for c in ("node", "name", "n_ids", "n_keys", "least", "log_p", "fullness", "cast_size")])
@@ -414,19 +430,18 @@ def attribute(people: DataFrame, campaigns: DataFrame, shows: DataFrame) -> tupl
 
 def same_people(people: DataFrame, campaigns: DataFrame, shows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, root) of ids that are not alone, and (key, id) of the wiki mentions' attribution."""
-    links, meant = attribute(people, campaigns, shows)
+    links, meant = attribute(people, prepare(people, campaigns, shows))
     return components(links), meant
 
 
-def by_whole_name(people: DataFrame, rest: DataFrame, groups: DataFrame) -> DataFrame:
+def by_whole_name(given: Spellings, rest: DataFrame, groups: DataFrame) -> DataFrame:
     """(key, id) of mentions that no show could attribute, if just one person has all words of the name and a namesake is improbable."""
     key = _per_name("name", "string", whole_key)
-    spelt = person_spellings(people)
+    spelt = given.spelt
     keyed = spelt.withColumn("whole", key).where("whole IS NOT NULL").join(groups, "id", "left").select("whole", "id", F.coalesce("root", "id").alias("root"))
     sole = keyed.groupBy("whole").agg(F.min("root").alias("root"), F.max("root").alias("other"), F.min("id").alias("id")).where(F.col("root") == F.col("other"))
     people_count = spelt.agg(F.count_distinct("id").alias("n_people"))
-    rarity = _rarity(spelt.select("name").unionByName(rest.select("name")))
-    named = rest.withColumn("whole", key).where("whole IS NOT NULL").join(sole.select("whole", "id"), "whole").join(rarity, "name")
+    named = rest.withColumn("whole", key).where("whole IS NOT NULL").join(sole.select("whole", "id"), "whole").join(given.rarity, "name")
     likely = named.crossJoin(F.broadcast(people_count)).where(F.log("n_people") + F.col("log_p") < math.log(NAMESAKES))  # one row
     return likely.select("key", "id")
 
@@ -437,9 +452,10 @@ def person_links(people: DataFrame, campaigns: DataFrame, shows: DataFrame) -> D
     Null or blank names, null ids, null arrays and null elements take no part; repeated rows change nothing; people and
     mentions that no show connects stay apart. Empty tables give no pair. Names of any length are read whole.
     """
-    groups, meant = same_people(people, campaigns, shows)
-    groups, meant = cut(groups), cut(meant)
-    meant = meant.unionByName(by_whole_name(people, mentions(campaigns).join(meant.select("key").distinct(), "key", "left_anti"), groups))
+    given = prepare(people, campaigns, shows)
+    links, meant = attribute(people, given)
+    groups, meant = components(links), cut(meant)
+    meant = cut(meant.unionByName(by_whole_name(given, given.wiki.join(meant.select("key").distinct(), "key", "left_anti"), groups)))
     other = groups.select(F.col("id").alias("b"), "root")
     of_ids = groups.select(F.col("id").alias("a"), "root").join(other, "root").where(F.col("a") < F.col("b"))
     roots = meant.join(groups, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))

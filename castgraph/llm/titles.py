@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from castgraph.llm.reflist import budget, plain
+from castgraph.session import cut
 
 # Words that tell nothing of a title, and what catalogues and wikis append to one.
 WEAK_WORDS = {"the", "a", "an", "and", "of", "in", "at", "on", "from", "to", "el", "la", "le", "o", "der", "die", "das", "tales", "beyond"}
@@ -111,10 +112,10 @@ def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Keys join pairs of words, so a word that a third of all titles has makes no large group by itself; equal titles are compared once.
     """
-    a = left.where(F.col("title").isNotNull()).distinct()
-    b = right.where(F.col("title").isNotNull()).distinct()
+    a = cut(left.where(F.col("title").isNotNull()).distinct())
+    b = cut(right.where(F.col("title").isNotNull()).distinct())
     ka = a.select("title").distinct().select(F.col("title").alias("lt"), F.explode(F.transform(keys("title"), lambda k: F.xxhash64(k))).alias("key"))
     kb = b.select("title").distinct().select(F.col("title").alias("rt"), F.explode(F.transform(keys("title"), lambda k: F.xxhash64(k))).alias("key"))
-    both = ka.join(kb, "key").select("lt", "rt").distinct().withColumn("score", similar("lt", "rt")).where(F.col("score") > 0)
+    both = cut(ka.join(kb, "key").select("lt", "rt").distinct()).withColumn("score", similar("lt", "rt")).where(F.col("score") > 0)
     found = both.join(a.withColumnRenamed("title", "lt"), "lt").join(b.withColumnRenamed("title", "rt"), "rt")
     return found.groupBy("l", "r").agg(F.max("score").alias("score"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from castgraph.plans import problems
+from castgraph.plans import problems, views
 
-FLAGSHIP = "p7_found"
-_MODULES = [problems]
+FLAGSHIP = "filmography"
+_MODULES = [problems, views]
 
 
 def queries() -> dict[str, Callable]:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from castgraph.plans import problems, views
+from castgraph.plans import problems, quality, resolving, views
 
 FLAGSHIP = "filmography"
-_MODULES = [problems, views]
+_MODULES = [problems, views, quality, resolving]
 
 
 def queries() -> dict[str, Callable]:

@@ -8,6 +8,7 @@ distance, and the run's exact words are then counted.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -24,22 +25,36 @@ ITEMS_A_PASS = 20_000
 _separators = re.compile(r"[\W_]+")
 
 
+#: For ASCII bytes: letters in lower case, digits, and a space for all else.
+_ASCII = bytes(ord(chr(i).lower()) if i < 128 and chr(i).isalnum() else 32 for i in range(256))
+
+
 def normal_words(text: str) -> str:
     """The words of the text in lower case, each after one space, and a space at the end."""
+    if text.isascii():
+        return f" {b' '.join(text.encode().translate(_ASCII).split()).decode()} "
     return f" {_separators.sub(' ', text.lower()).strip()} "
 
 
-def myers(pattern: str, text: str, most: int) -> int:
-    """Least number of edits between the pattern and any part of the text; most + 1 if there are more."""
-    m = len(pattern)
-    if not m:
+def myers(a: str, b: str, most: int) -> int:
+    """Edits between two texts by Myers' bit vectors; most + 1 if there are more. What both begin and end with is left out."""
+    if a == b:
         return 0
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    start = len(os.path.commonprefix((a, b)))
+    a, b = a[start:], b[start:]
+    end = len(os.path.commonprefix((a[::-1], b[::-1])))
+    pattern, text = (a[: len(a) - end], b[: len(b) - end])
+    m = len(pattern)
+    if not m or not text:
+        return min(max(m, len(text)), most + 1)
     peq: dict[str, int] = {}
     for i, c in enumerate(pattern):
         peq[c] = peq.get(c, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best = full, 0, m, m
-    for c in text:
+    pv, mv, score = full, 0, m
+    for left, c in zip(range(len(text) - 1, -1, -1), text):
         eq = peq.get(c, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -49,13 +64,13 @@ def myers(pattern: str, text: str, most: int) -> int:
             score += 1
         elif mh & top:
             score -= 1
-        ph = ph << 1 & full
+        if score - left > most:
+            return most + 1
+        ph = (ph << 1 | 1) & full
         mh = mh << 1 & full
         pv = mh | ~(xv | ph) & full
         mv = ph & xv
-        if score < best:
-            best = score
-    return min(best, most + 1)
+    return min(score, most + 1)
 
 
 class Items:
@@ -83,16 +98,14 @@ class Items:
         hits = [(end - size + 1, at) for end, (size, at) in self.automaton.iter(normal)]
         if not hits:
             return []
-        starts: dict[int, int] = {}  # where a word begins -> its number, for the places hit only
-        number, last = 0, 0
+        words = normal.split()
+        number, last = 0, 0  # the number of the word that begins at a hit
         diagonals: dict[tuple[int, int], list[int]] = {}
         for start, at in sorted(hits, key=lambda h: h[0]):
             number += normal.count(" ", last, start)
             last = start
-            starts[number] = start
             for n, i in at:
                 diagonals.setdefault((n, number - i), []).append(i)
-        words = normal.split()
         best: dict[int, tuple[int, int]] = {}
         for (n, shift), found in diagonals.items():
             for first, end in self._runs(found):
@@ -113,26 +126,35 @@ class Items:
             last = i
 
     def _verify(self, n: int, shift: int, first: int, end: int, words: list[str]) -> tuple[int, int] | None:
+        """(exact run, least edits) of the windows around a run of exact pieces, None if no window has few enough edits.
+
+        An edit damages two words at most, so a window's other words must be in the document within max_edits places of the
+        diagonal; only windows that have so many are measured.
+        """
         item, w, k = self.items[n][1], self.min_words, self.max_edits
+        a, b = first, end  # the exact check: the run of equal words around the hits
+        while a > 0 and a - 1 + shift >= 0 and item[a - 1] == words[a - 1 + shift]:
+            a -= 1
+        while b < len(item) and b + shift < len(words) and item[b] == words[b + shift]:
+            b += 1
         # Windows that hold a piece of the run at one of the pigeonhole's places; of a long run one inside it.
-        starts = {first} if end - first >= w else {first - j * self.piece_words for j in range(k + 1)} | {end - w}
+        starts = {a} if b - a >= w else {s for i in (first, end - self.piece_words) for j in range(k + 1) for s in (i - j * self.piece_words,)} | {a, b - w, a - 1, b - w + 1}
+        areas = [(lo, hi) for lo in range(-k, k + 1) for hi in range(-k, k + 1) if abs(lo) + abs(hi) <= k]
         least = k + 1
         for s in starts:
-            if 0 <= s and s + w <= len(item):
-                lo = max(0, s + shift - k)
-                area = " ".join(words[lo : max(0, s + shift + w + k)])
-                least = min(least, myers(" ".join(item[s : s + w]), area, k))
+            if s < 0 or s + w > len(item):
+                continue
+            whole = 0
+            for i in range(s, s + w):
+                whole += item[i] in words[max(0, i + shift - k) : max(0, i + shift + k + 1)]
+            if whole >= w - 2 * k:
+                window = " ".join(item[s : s + w])
+                for lo, hi in areas:  # an edit of a space moves one end by a word
+                    if 0 <= s + shift + lo:
+                        least = min(least, myers(window, " ".join(words[s + shift + lo : s + shift + w + hi]), k))
                 if not least:
                     break
-        if least > k:
-            return None
-        run = end - first  # the exact check: the run of equal words around the hits
-        a, b = first, end
-        while a > 0 and a - 1 + shift >= 0 and item[a - 1] == words[a - 1 + shift]:
-            a, run = a - 1, run + 1
-        while b < len(item) and b + shift < len(words) and item[b] == words[b + shift]:
-            b, run = b + 1, run + 1
-        return run, least
+        return None if least > k else (b - a, least)
 
 
 def find_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = MIN_WORDS, max_edits: int = MAX_EDITS) -> DataFrame:

@@ -72,7 +72,7 @@ def _cited_twice(c: Column) -> Column:
 
 def person_rules() -> list[tuple[str, Column]]:
     """The rules of a person record by name; a rule whose condition is true is broken."""
-    names = F.transform("aliases", lambda a: a["name"])
+    names = F.array_compact(F.transform("aliases", lambda a: a["name"]))
     ids = F.filter(F.transform("aliases", lambda a: a["id"]), lambda i: i.isNotNull())
     return [
         ("required", F.col("id").isNull() | _blank(F.col("canonical_name"))),
@@ -80,7 +80,7 @@ def person_rules() -> list[tuple[str, Column]]:
         ("qid", ~F.col("wikidata_qid").rlike(QID)),
         ("fair_use_rationale", (F.col("image.licence") == "fair use") & _blank(F.col("image.rationale"))),
         ("alias_ids_unique", F.coalesce(F.size(ids) != F.size(F.array_distinct(ids)), F.lit(False))),
-        ("canonical_among_aliases", F.coalesce(~F.array_contains(names, F.col("canonical_name")), F.size(F.coalesce(names, F.array())) == 0)),
+        ("canonical_among_aliases", F.col("canonical_name").isNotNull() & ~F.coalesce(F.array_contains(names, F.col("canonical_name")), F.lit(False))),
         ("alias_type", _any("aliases", lambda a: ~a["alias_type"].isin(model.ALIAS_TYPES))),
         ("alias_dates", _any("aliases", lambda a: ~a["active_from"].rlike(PARTIAL_DATE) | ~a["active_to"].rlike(PARTIAL_DATE))),
         ("credit_role", _every(lambda c: ~c["role"].isin(model.CREDIT_ROLES))),

@@ -83,7 +83,7 @@ PERSON_SQL = {
     "qid": r"NOT regexp_matches(wikidata_qid, '^Q[1-9]\d*$')",
     "fair_use_rationale": "image.licence = 'fair use' AND coalesce(image.rationale, '') = ''",
     "alias_ids_unique": f"len({_IDS}) <> len(list_distinct({_IDS}))",
-    "canonical_among_aliases": f"coalesce(CASE WHEN canonical_name IS NOT NULL THEN NOT list_contains({_NAMES}, canonical_name) END, coalesce(len(aliases), 0) = 0)",
+    "canonical_among_aliases": f"canonical_name IS NOT NULL AND NOT coalesce(list_contains({_NAMES}, canonical_name), false)",
     "alias_type": _any("aliases", f"x.alias_type NOT IN {_in(model.ALIAS_TYPES)}"),
     "alias_dates": _any("aliases", f"NOT regexp_matches(x.active_from, {_DATE}) OR NOT regexp_matches(x.active_to, {_DATE})"),
     "credit_role": _any("credits", f"x.role NOT IN {_in(model.CREDIT_ROLES)}"),

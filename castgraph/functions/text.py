@@ -159,7 +159,7 @@ def html_lines(c: Column | str) -> Column:
     text = F.regexp_replace(text, "<[^>]+>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.regexp_replace(F.regexp_replace(text, r"[ \t\x{A0}]+", " "), r" *\n[ \n]*", "\n")
+    return trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\x{A0}]+", " "), r" *\n[ \n]*", "\n"))
 
 
 def wikitext_plain(c: Column | str) -> Column:

@@ -36,18 +36,22 @@ def trending(rows: DataFrame, key: str, value: str, at: str, as_of: str) -> Data
 
 
 class SeededDraws:
-    """Reproducible draws from [0, 1) of a 32-bit seed."""
+    """Reproducible draws from [0, 1) of a 32-bit seed: the state is mixed by products and shifts, and each mix is a draw."""
+
+    # The increment of the seed, the shifts and the bits set before products.
+    INCREMENT, SHIFTS, BITS = 0x6D2B79F5, (15, 7, 14), (1, 61)
+    # End of fixed values.
+    WORD = 0xFFFFFFFF
 
     def __init__(self, seed: int):
-        self.state = seed & 0xFFFFFFFF
+        self.state = (seed + self.INCREMENT) & self.WORD
 
     def next(self) -> float:
-        m = 0xFFFFFFFF
-        self.state = (self.state + 0x6D2B79F5) & m
-        t = self.state
-        t = ((t ^ t >> 15) * (t | 1)) & m
-        t ^= (t + ((t ^ t >> 7) * (t | 61) & m)) & m
-        return ((t ^ t >> 14) & m) / 4294967296
+        x = self.state
+        x = (x ^ x >> self.SHIFTS[0]) * (x | self.BITS[0]) & self.WORD
+        mixed = (x ^ x >> self.SHIFTS[1]) * (x | self.BITS[1])
+        self.state = x = (x ^ (x + mixed)) & self.WORD
+        return (x ^ x >> self.SHIFTS[2]) / (self.WORD + 1)
 
 
 def shuffled(items: list, seed: int) -> list:

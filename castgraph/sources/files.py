@@ -77,7 +77,8 @@ def read_collection(spark: SparkSession, folder: str, name: str) -> tuple[DataFr
     are no mapping are problems.
     """
     kind = model.COLLECTIONS[name]
-    raw = spark.read.text(f"{folder}/{name}", wholetext=True, pathGlobFilter="*.y*ml").select(F.col("_metadata.file_name").alias("file"), "value").where("NOT startswith(file, '.')")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{yml,yaml}").load(f"{folder}/{name}")  # text would pass over empty files
+    raw = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("content").alias("value")).where("NOT startswith(file, '.')")
     schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("record", kind), T.StructField("problems", T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("message", T.StringType())])))])
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,7 +87,7 @@ def read_collection(spark: SparkSession, folder: str, name: str) -> tuple[DataFr
             for file, value in zip(part["file"], part["value"]):
                 problems, record = [], None
                 try:
-                    data = yaml.load(value, Loader=core_loader())  # a safe loader
+                    data = yaml.load(bytes(value).decode(), Loader=core_loader())  # a safe loader
                     if not isinstance(data, dict):
                         problems.append(("", "empty file" if data is None else "expected a mapping"))
                     else:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of JSON text indexed at once; a longer record is still taken whole.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)

@@ -70,6 +70,14 @@ def _shaped(value, kind):
     return value
 
 
+def _listed(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """(name, size) of the YAML files of a folder, which may be missing. Spark itself passes over empty files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [(s.getPath().getName(), s.getLen()) for s in system.listStatus(path)] if system.exists(path) else []
+    return sorted((n, size) for n, size in found if n.endswith((".yml", ".yaml")) and not n.startswith("."))
+
+
 def read_collection(spark: SparkSession, folder: str, name: str) -> tuple[DataFrame, DataFrame]:
     """(records, problems) of a folder of YAML files, one record each. No file stops another: a bad one is a problem (file, path, message).
 
@@ -77,7 +85,11 @@ def read_collection(spark: SparkSession, folder: str, name: str) -> tuple[DataFr
     are no mapping are problems.
     """
     kind = model.COLLECTIONS[name]
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{yml,yaml}").load(f"{folder}/{name}")  # text would pass over empty files
+    listed = _listed(spark, f"{folder}/{name}")
+    empty = spark.createDataFrame([(f, "", "empty file") for f, size in listed if not size], "file string, path string, message string")
+    if not any(size for _, size in listed):
+        return spark.createDataFrame([], T.StructType([T.StructField("file", T.StringType()), *kind.fields])), empty
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{yml,yaml}").load(f"{folder}/{name}")
     raw = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("content").alias("value")).where("NOT startswith(file, '.')")
     schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("record", kind), T.StructField("problems", T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("message", T.StringType())])))])
 
@@ -106,7 +118,7 @@ def read_collection(spark: SparkSession, folder: str, name: str) -> tuple[DataFr
 
     parsed = raw.mapInPandas(parse, schema)
     problems = parsed.select("file", F.explode("problems").alias("p")).select("file", "p.path", "p.message")
-    return parsed.where("record IS NOT NULL").select("file", "record.*"), problems
+    return parsed.where("record IS NOT NULL").select("file", "record.*"), problems.unionByName(empty)
 
 
 def read_dump(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

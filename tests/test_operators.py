@@ -214,6 +214,8 @@ def test_yaml_collection(spark, tmp_path):
     row = good.first()
     assert row["id"] == "tin-lantern" and row["seasons"][0]["started"] == "2019-03-01" and row["seasons"][0]["game"] == ["ember"]
     assert {(r["file"], r["path"]) for r in problems.collect()} == {("empty.yml", ""), ("other.yml", "id"), ("other.yml", "colour"), ("other.yml", "solo"), ("broken.yml", "")}
+    good, problems = files.read_collection(spark, str(tmp_path), "games")
+    assert good.count() == 0 and problems.count() == 0
 
 
 def test_dump_and_feed(spark, tmp_path):

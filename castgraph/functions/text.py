@@ -39,7 +39,7 @@ LINK_ORDER = {"watch": 0, "listen": 1, "home": 2, "read": 3}
 def _accented() -> tuple[str, str]:
     """Latin letters that decompose into a plain letter and marks, and those plain letters, by the Unicode database."""
     pairs = []
-    for p in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+    for p in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), 0x212B]:
         base = unicodedata.normalize("NFD", chr(p))
         if len(base) > 1 and base[0].isascii() and all(unicodedata.combining(c) for c in base[1:]):
             pairs.append((chr(p), base[0]))

@@ -54,9 +54,15 @@ def dangling_shows(t: Tables) -> DataFrame:
     FROM al WHERE NOT regexp_matches(name, '[^\x00-\x{24F}]')) WHERE name_key <> '' GROUP BY name_key HAVING count(*) >= 2"""
 )
 def shared_names(t: Tables) -> DataFrame:
+    """Only names of Latin letters, like its SQL; `shared_names_all` reads every name."""
     return integrity.shared_names(t.aliases.where(~F.col("name").rlike(r"[^\x00-\x{24F}]")))
 
 
+@query()
+def shared_names_all(t: Tables) -> DataFrame:
+    return integrity.shared_names(t.aliases)
+
+
 _SLUG = "'^[a-z0-9]+(-[a-z0-9]+)*$'"
 _DATE = r"'^\d{4}(-\d{2}(-\d{2})?)?$'"
 _NN = "lambda x: x IS NOT NULL"
@@ -139,9 +145,15 @@ _KEY = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(c
     WHERE a.first = b.first OR (length(a.first) >= 3 AND length(b.first) >= 3 AND (starts_with(a.first, b.first) OR starts_with(b.first, a.first)))"""
 )
 def same_person_pairs(t: Tables) -> DataFrame:
+    """Only names of Latin letters, like its SQL; `same_person_pairs_all` reads every name."""
     return integrity.same_person_pairs(t.people.where(~F.col("canonical_name").rlike(r"[^\x00-\x{24F}]")))
 
 
+@query()
+def same_person_pairs_all(t: Tables) -> DataFrame:
+    return integrity.same_person_pairs(t.people)
+
+
 #: Patterns a title may name a system by, and the beginning of that system's ids; a parameter of the rule.
 HINTS = [(r"(?i)\bdrakkenhold\b", "drakkenhold"), (r"(?i)\bhollow\b", "hollow-tide"), (r"(?i)\bember\b", "ember-oath"), (r"(?i)\bstarfall|ledger\b", "starfall"), (r"(?i)\bparish\b", "the-witching"), (r"(?i)\bmap\b", "quiet-map")]
 

@@ -1,6 +1,8 @@
 import gzip
 import json
 import random
+import re
+import unicodedata
 from datetime import datetime
 
 import pyarrow as pa
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 from castgraph import model
 from castgraph.functions import text
 from castgraph.operators import extraction, flatten, integrity, merge, orphans, ranking, relations
+from castgraph.plans import registry
 from castgraph.sources import files
 
 PEOPLE = T.StructType([T.StructField("rec_no", T.LongType()), *model.PERSON.fields, T.StructField("loaded_at", T.TimestampNTZType()), T.StructField("extra", T.StringType())])
@@ -233,3 +236,28 @@ def test_extraction():
     assert extraction.credits_of_description("GM: Cy Dune\nPlayers: Ana Vale, Bo Reed") == [("Cy Dune", "GM/DM", None), ("Ana Vale", "player", None), ("Bo Reed", "player", None)]
     assert extraction.credits_of_notes("Ana Vale as Opal\nguest Bo Reed plays Zed\n")[0] == ("Ana Vale", "player", "Opal")
     assert extraction.common_title(["The Tin Lantern Episode 1", "The Tin Lantern Episode 2"]) == "The Tin Lantern"
+
+
+def test_queries_of_all_names_equal_brute_force(spark, tmp_path):
+    def plain(name):
+        return re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", name)).lower()
+
+    spellings = ["Ana Vale", "Ana\u2003Vale", "Ána Vale\u200b", "Anastasia\u2003Vale", "Анна Vale", "Bo ﬁnch", "Милан Бервесон", "Zoë O\u2019Dell", "Zoe O'Dell", "\u212bsa Moe", "Åsa Moe", None]
+    alias = lambda n: {f: None for f in model.ALIAS.names} | {"name": n}
+    people = [person(i, f"p{i:02}", canonical_name=n, aliases=[alias(n)]) for i, n in enumerate(spellings)]
+    spark.createDataFrame(people, PEOPLE).write.parquet(str(tmp_path / "people.parquet"))
+    spark.createDataFrame([], SHOWS).write.parquet(str(tmp_path / "shows.parquet"))
+    for other in ("channels", "games"):
+        spark.createDataFrame([], "id string").write.parquet(str(tmp_path / f"{other}.parquet"))
+    got = lambda name: {tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()}
+
+    named = [(i, f"p{i:02}", plain(n)) for i, n in enumerate(spellings) if n]
+    assert got("text_forms_all") == {(i, re.sub("[^a-z0-9]+", " ", n).strip(), re.sub("[^a-z0-9]+", "-", n).strip("-")) for i, _, n in named}
+    by_key = {}
+    for _, id, n in named:
+        by_key.setdefault(re.sub("[^a-z0-9]+", " ", n).strip(), []).append(id)
+    assert got("shared_names_all") == {(k, "|".join(ids), len(ids)) for k, ids in by_key.items() if k and len(ids) > 1}
+    words = [(id, re.sub(r"\s+", " ", re.sub("[^a-z ]", "", n)).strip().split(" ")) for _, id, n in named]
+    words = [(id, w[0], w[-1]) for id, w in words if len(w) >= 2]
+    alike = lambda x, y: x == y or min(len(x), len(y)) >= 3 and (x.startswith(y) or y.startswith(x))
+    assert got("same_person_pairs_all") == {(a, b) for a, f, m in words for b, g, n in words if a < b and m == n and alike(f, g)}

@@ -257,6 +257,19 @@ def test_marginals_equal_enumeration_on_a_tree(spark):
     assert [got[p[0], p[1]] for p in pairs] == pytest.approx(expected, abs=1e-3)
 
 
+@pytest.mark.parametrize("a, b", [("Asa Hunde", "Asa Hunda"), ("Asa Hunde", "Asa Hinde"), ("Asa Valemont", "Asa Vlemont"), ("Robin Valemont", "Robbin Velemont")])
+def test_mistyped_people_share_a_cast_key(a, b):
+    assert set(matching.person_key(a)) & set(matching.person_key(b))
+
+
+def test_cast_overlap_counts_mistyped_people_once(spark):
+    pairs = spark.createDataFrame([("s1", "t1"), ("s2", "t1"), ("s1", "t2")], "show_id string, tconst string")
+    cast = spark.createDataFrame([("s1", "Asa Hunda"), ("s1", "Robin Valemont"), ("s2", "Otto Stonebury"), ("s3", "Asa Hunde")], "show string, name string")
+    people = [("t1", "n1", "Asa Hunde"), ("t1", "n2", "Robin Valemont"), ("t1", "n3", None), ("t2", "n4", "Cy Marlowick")]
+    got = matching.cast_overlap(pairs, cast, spark.createDataFrame(people, "tconst string, nconst string, name string")).collect()
+    assert {(r["show_id"], r["tconst"]): (r["shared"], r["named"]) for r in got} == {("s1", "t1"): (2, 2), ("s2", "t1"): (0, 2), ("s1", "t2"): (0, 1)}
+
+
 def test_titles():
     assert titles.similarity("The Tin Lantern of Greywater", "tin lantern of greywatre - The Series") > 0.9
     assert titles.similarity("Tales from Ash: The Violet Candle", "Ash and the Forgotten Candle") < 0.5

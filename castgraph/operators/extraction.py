@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +24,7 @@ FIELD_ROLES = {
 Credit = tuple[str, str, str | None]
 _name = re.compile(r"[^\W\d_][\w'’.\-]*(?: (?:\"[^\"]+\"|[^\W\d_][\w'’.\-]*)){1,3}")
 _label = re.compile(r"^\s*(?:(?P<gm>dungeon master|game master|gm|dm|storyteller|keeper|referee)|(?P<guest>guest(?: star| player)?s?)|(?P<player>players?|cast|starring|featuring|with))\s*[:\-–—]\s*(?P<rest>.+)$", re.I)
+_prose = re.compile(r"\b(?:takes|plays|joins|presents|with|and|the|for|from)\b", re.I)
 _heading = re.compile(r"^\s*(?:the )?(?:cast|players|our players|starring|cast and crew|meet the cast)\s*:?\s*$", re.I)
 _pair = re.compile(r"^\s*[•*\-–]?\s*(?P<a>[^:|–—]+?)\s*(?:\bas\b|[–—|]|\bplays\b|\bis playing\b| - )\s*(?P<b>.+?)\s*$")
 
@@ -94,20 +96,36 @@ def _names(value: str) -> list[str]:
     return [m.group().strip() for part in re.split(r",|;|\band\b|&", value) if (m := _name.fullmatch(part.strip(" .\t")))]
 
 
-def credits_of_description(description: str) -> list[Credit]:
-    """The first of three readings with more than one credit: a list under a cast heading, labelled lines, pairs of performer and part."""
-    lines = description.splitlines()
-    headed: list[Credit] = []
+def _headed(lines: list[str], window: int | None) -> list[Credit]:
+    """Rows under each cast heading, to the next heading, the end or the end of the window; blank lines are skipped.
+
+    After a blank line, where prose may follow, no word of prose makes a name, and one without a part has words in capitals only.
+    """
+    out: list[Credit] = []
+    start, rows, apart = None, 0, False
     for i, line in enumerate(lines):
         if _heading.match(line):
-            for row in lines[i + 1 : i + 61]:
-                if not row.strip():
-                    break
-                pair = _pair.match(row)
-                name = (pair.group("a") if pair else row).strip(" •*-–\t")
-                if _name.fullmatch(name):
-                    headed.append((name, "player", pair.group("b") if pair else None))
-            break
+            start, rows, apart = i, 0, False
+        elif start is None or (window is not None and i > start + window):
+            continue
+        elif not line.strip():
+            apart = rows > 0
+        else:
+            rows += 1
+            pair = _pair.match(line)
+            name = (pair.group("a") if pair else line).strip(" •*-–\t")
+            if _name.fullmatch(name) and not (apart and (_prose.search(name) or not (pair or all(w.lstrip('"')[0].isupper() for w in name.split())))):
+                out.append((name, "player", pair.group("b") if pair else None))
+    return out
+
+
+def credits_of_description(description: str, window: int | None = None) -> list[Credit]:
+    """The first of three readings with more than one credit: lists under cast headings, labelled lines, pairs of performer and part.
+
+    `window` is the most lines read under a heading; without one all are.
+    """
+    lines = description.splitlines()
+    headed = _headed(lines, window)
     labelled = [(n, "GM/DM" if m["gm"] else "guest player" if m["guest"] else "player", None) for line in lines if (m := _label.match(line)) for n in _names(m["rest"])]
     paired = [(m["a"].strip(), "player", m["b"].strip()) for line in lines if (m := _pair.match(line)) and _name.fullmatch(m["a"].strip()) and len(m["b"]) < 60]
     for found in (headed, labelled, paired):
@@ -149,5 +167,5 @@ def extract(rows: DataFrame, key: str, column: str, read: Callable[[str], list[C
 
 
 def extract_from_html(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """Credits of pages: their text lines are made in the JVM, then read like a description."""
-    return extract(pages.withColumn("_lines", text.html_lines(html)), key, "_lines", credits_of_description)
+    """Credits of pages: their text lines are made in the JVM, then read like a description, 60 lines under a heading."""
+    return extract(pages.withColumn("_lines", text.html_lines(html)), key, "_lines", partial(credits_of_description, window=60))

@@ -261,3 +261,12 @@ def test_queries_of_all_names_equal_brute_force(spark, tmp_path):
     words = [(id, w[0], w[-1]) for id, w in words if len(w) >= 2]
     alike = lambda x, y: x == y or min(len(x), len(y)) >= 3 and (x.startswith(y) or y.startswith(x))
     assert got("same_person_pairs_all") == {(a, b) for a, f, m in words for b, g, n in words if a < b and m == n and alike(f, g)}
+
+
+def test_cast_lists_are_read_to_their_ends():
+    cast = [(f"{a} Vale{b}", "player", f"Part {a}{b}") for a in ("Ana", "Bo", "Cy", "Dee") for b in "abcdefghijklmnopqrst"]
+    lines = [f"{name} as {part}" for name, _, part in cast]
+    assert extraction.credits_of_description("\n".join(["Cast:", *lines])) == cast
+    assert extraction.credits_of_description("\n\n".join(["Cast:", *lines])) == cast
+    assert extraction.credits_of_description("\n".join(["Cast:", *lines[:3], "", "See you soon", "", "Players", *lines[3:], "", "Otto Marlow"])) == [*cast, ("Otto Marlow", "player", None)]
+    assert len(extraction.credits_of_description("\n".join(["Cast:", *lines]), window=60)) == 60

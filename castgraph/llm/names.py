@@ -251,6 +251,19 @@ def whole_key(text: str) -> str | None:
     return "n:" + " ".join(sorted(t for t, _ in name.tokens))
 
 
+@lru_cache(maxsize=200_000)
+def mistyped(a: str, b: str) -> bool:
+    """Whether two spellings have the same number of whole words, in some turn equal but for typing errors in at least one."""
+    x, y = read_name(a), read_name(b)
+    if x.handle or y.handle or x.foreign or y.foreign or len(x.tokens) != len(y.tokens) or {k for _, k in x.tokens + y.tokens} != {"w"}:
+        return False
+    for turn in range(len(x.tokens)):
+        costs = [_token(p, q) for p, q in zip(x.tokens[turn:] + x.tokens[:turn], y.tokens)]
+        if all(c == SAME or c is not None and c <= TYPO for c in costs) and min(costs) < SAME:
+            return True
+    return False
+
+
 def tokens_of(text: str) -> list[str]:
     return [t if k == "w" else t[0] + "." for t, k in read_name(text).tokens]
 
@@ -273,6 +286,15 @@ def likelihood(a: str, b: str) -> Column:
     return run(a, b)
 
 
+def typing_error(a: str, b: str) -> Column:
+    @F.pandas_udf("boolean")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in parts:
+            yield pd.Series([mistyped(s, t) for s, t in zip(x, y)], dtype="bool")
+
+    return run(a, b)
+
+
 def consistent(df: DataFrame, column: str) -> DataFrame:
     """The column in its consistent form, lower case kept for camel forms only; null or blank values drop out."""
     plain_ascii = F.col(column).rlike(r"\A[ -~]*\z")
@@ -371,6 +393,26 @@ def prepare(people: DataFrame, campaigns: DataFrame, shows: DataFrame) -> Spelli
     return Spellings(spelt, cast, wiki, cut(campaign_shows(campaigns, shown)), cut(_rarity(spelt.select("name").unionByName(wiki.select("name")))))
 
 
+def _by_all_shows(turned: DataFrame, of_people: DataFrame, cast: DataFrame) -> DataFrame:
+    """Links (a, b) of ids by all shows both are credited in: a namesake would have to be in each of them by chance.
+
+    Of N people, N p have the lower name p by chance and each is in a show of c people with probability c / N. With one show this is
+    the test within that show.
+    """
+    ids = of_people.withColumn("node", F.xxhash64("show", "name")).select("node", "id").distinct()
+    met = turned.join(ids.select(F.col("node").alias("low_node"), F.col("id").alias("a")), "low_node").join(ids.select(F.col("node").alias("high_node"), F.col("id").alias("b")), "high_node").where(F.col("a") != F.col("b"))
+    people = cast.agg(F.count_distinct("id").alias("n_people"))
+    met = met.crossJoin(F.broadcast(people))  # one row
+    in_show = F.log(F.least(F.col("cast_size"), F.col("n_people")) / F.col("n_people"))
+    met = met.groupBy("a", "b", "low_name", "high_name").agg(
+        F.max("log_l").alias("log_l"), F.max("low_log_p").alias("low_log_p"), F.max("n_people").alias("n_people"), F.sum(in_show).alias("in_shows"), F.count(F.lit(1)).alias("n_shows"), F.sum(F.col("high_n_ids") + F.col("high_n_keys")).alias("n")
+    )
+    odds = F.col("log_l") + math.log(ANOTHER_FORM) - (F.log("n_people") + F.col("low_log_p") + F.col("in_shows"))
+    likely = met.where((F.col("n_shows") > 1) & (odds > 0))
+    best = likely.groupBy("a", "low_name").agg(F.max(F.struct(F.col("log_l") + F.log("n"), F.col("n_shows"), "b")).alias("best"))
+    return best.select("a", F.col("best.b").alias("b"))
+
+
 def attribute(people: DataFrame, given: Spellings) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between ids of one person, and (key, id) of wiki mentions and ids they mean.
 
@@ -400,19 +442,22 @@ def attribute(people: DataFrame, given: Spellings) -> tuple[DataFrame, DataFrame
         return nodes.select(*[F.col(c).alias(f"{prefix}_{c}") for c in ("node", "name", "n_ids", "n_keys", "least", "log_p", "fullness", "cast_size")])
 
     judged = pairs.join(side("v"), F.col("v") == F.col("v_node")).join(side("c"), F.col("c") == F.col("c_node"))
-    judged = judged.withColumn("log_l", likelihood("v_name", "c_name")).where(F.col("log_l").isNotNull())
-    judged = cut(judged.select("v", "c", "log_l", *[f"{p}_{c}" for p in "vc" for c in ("n_ids", "n_keys", "least", "log_p", "fullness")], F.col("c_cast_size").alias("cast_size"), F.col("c_name"), F.col("v_name")))
-
-    # Between people: the lower ranked form attaches to the higher one of greatest posterior.
-    rank = lambda p: F.struct(F.col(f"{p}_fullness") > 0, F.col(f"{p}_n_ids") + F.col(f"{p}_n_keys"), F.col(f"{p}_fullness"), F.col(f"{p}_name"))
-    columns = ["node", "least", "n_ids", "n_keys", "log_p"]
+    judged = judged.withColumn("log_l", likelihood("v_name", "c_name")).where(F.col("log_l").isNotNull()).withColumn("typo", typing_error("v_name", "c_name"))
+    judged = cut(judged.select("v", "c", "log_l", "typo", *[f"{p}_{c}" for p in "vc" for c in ("n_ids", "n_keys", "least", "log_p", "fullness")], F.col("c_cast_size").alias("cast_size"), F.col("c_name"), F.col("v_name")))
+
+    # Between people: the lower ranked form attaches to the higher one of greatest posterior. Of two spellings that a typing error
+    # parts, the one of rarer words is the lower, whatever their counts: it is the one that a namesake hardly has.
+    rarer = lambda p: F.when(F.col("typo"), F.col(f"{p}_log_p")).otherwise(0.0)
+    rank = lambda p: F.struct(F.col(f"{p}_fullness") > 0, rarer(p), F.col(f"{p}_n_ids") + F.col(f"{p}_n_keys"), F.col(f"{p}_fullness"), F.col(f"{p}_name"))
+    columns = ["node", "name", "least", "n_ids", "n_keys", "log_p"]
     turned = judged.where("v_n_ids > 0").withColumn("up", rank("v") < rank("c"))
     pick = lambda c, low: F.when(F.col("up"), F.col(f"v_{c}" if low else f"c_{c}")).otherwise(F.col(f"c_{c}" if low else f"v_{c}")).alias(f"{'low' if low else 'high'}_{c}")
     turned = turned.withColumns({"v_node": F.col("v"), "c_node": F.col("c")}).select("log_l", "cast_size", *[pick(c, low) for c in columns for low in (True, False)])
+    turned = cut(turned)
     odds = F.col("log_l") + math.log(ANOTHER_FORM) - (F.log(F.greatest(F.col("cast_size"), F.lit(1))) + F.col("low_log_p"))
     posterior = F.struct(F.col("log_l") + F.log(F.col("high_n_ids") + F.col("high_n_keys")), F.col("high_least"))
     chosen = turned.where(odds > 0).groupBy("low_node").agg(F.max(F.struct(posterior, F.col("high_least").alias("b"), F.col("low_least").alias("a"))).alias("best"))
-    by_name = chosen.select("best.a", "best.b")
+    by_name = chosen.select("best.a", "best.b").unionByName(_by_all_shows(turned, of_people, cast))
 
     same_node = of_people.join(nodes.where("n_ids > 1").select("show", "name", "least"), ["show", "name"]).select(F.col("id").alias("a"), F.col("least").alias("b"))
     qids = people.where(F.col("wikidata_qid").rlike(r"\AQ[0-9]+\z") & F.col("id").isNotNull()).select("id", "wikidata_qid").distinct().join(cast, "id")
@@ -422,7 +467,7 @@ def attribute(people: DataFrame, given: Spellings) -> tuple[DataFrame, DataFrame
 
     # Mentions: the same spelling in the show, else the person's form of greatest posterior.
     direct = nodes.where("n_ids > 0 AND n_keys > 0").select("node", "least")
-    named = judged.where("v_n_ids = 0").where(F.col("log_l") + math.log(NAMED_IN_SHOW) - F.log(F.greatest(F.col("cast_size"), F.lit(1))) - F.col("v_log_p") > 0)
+    named = judged.where("v_n_ids = 0").where(F.col("log_l") + math.log(NAMED_IN_SHOW) - F.log(F.greatest(F.col("cast_size"), F.lit(1))) - F.when(F.col("typo"), F.least("v_log_p", "c_log_p")).otherwise(F.col("v_log_p")) > 0)
     named = named.groupBy(F.col("v").alias("node")).agg(F.max(F.struct(F.col("log_l") + F.log("c_n_ids"), F.col("c_least").alias("least"))).alias("best")).select("node", "best.least")
     meant = of_wiki.withColumn("node", F.xxhash64("show", "name")).join(direct.unionByName(named), "node").select("key", F.col("least").alias("id")).distinct()
     return links, meant

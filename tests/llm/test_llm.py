@@ -217,6 +217,18 @@ def test_people_are_linked(spark):
     assert pairs == {("person:a1", "person:a2"), ("person:a1", "wiki:1:1:2"), ("person:a2", "wiki:1:1:2"), ("person:c1", "wiki:1:1:3"), ("person:b1", "wiki:3:0:0")}
 
 
+def test_variants_in_a_hot_show_are_linked(spark):
+    firsts, lasts = [f"{a}{b}rin" for a in "BDFGKLMNPR" for b in "aeiou"], [f"{a}{b}llo{c}er" for a in "bdfgklmnpr" for b in "aeiou" for c in "mnst"]
+    rows = [person(i, f"x{i:04}", canonical_name=f"{firsts[i % 50]} {lasts[(i * 7 + i // 200) % 200].title()}", credits=[credit("hot"), credit(f"m{i % 10}")]) for i in range(1500)]
+    several = [credit("m1"), credit("m2"), credit("m3")]
+    rows += [person(3001, "a1", canonical_name="Barin Quistberg", credits=several), person(3002, "a2", canonical_name="Barin Quisstberg", credits=several)]
+    rows += [person(3005, "c1", canonical_name="Wulric Dallomer", credits=[credit("m1")]), person(3006, "c2", canonical_name="Wulric Dallommer", credits=[credit("m1")])]
+    shows = [show(1, "hot"), *[show(2 + i, f"m{i}") for i in range(10)]]
+    links = names.person_links(spark.createDataFrame(rows, PEOPLE), spark.createDataFrame([], _world()[3]), spark.createDataFrame(shows, SHOWS))
+    pairs = {tuple(r) for r in links.collect()}
+    assert {("person:a1", "person:a2"), ("person:c1", "person:c2")} <= pairs
+
+
 def test_linking_empty_tables(spark):
     _, _, _, kind = _world()
     assert names.person_links(spark.createDataFrame([], PEOPLE), spark.createDataFrame([], kind), spark.createDataFrame([], SHOWS)).count() == 0

@@ -343,16 +343,16 @@ def mentions(campaigns: DataFrame) -> DataFrame:
     return consistent(keyed, "name")
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, root): the least id each id is linked with, over edges (a, b).
 
     Labels fall to the least of the neighbours' and then jump to their label's label, so chains shorten by half each round;
-    every round is written to the shared checkpoint folder. Only links between different ids take part.
+    every round is written to the shared checkpoint folder. Rounds go on until no label changes, which they do as labels only fall. Only links between different ids take part.
     """
     links = edges.where(F.col("a") != F.col("b"))
     links = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
-    for _ in range(rounds):
+    while True:
         near = links.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         lower = labels.join(near, "id").select("id", F.least("root", "near").alias("root"), F.col("root").alias("old"))
         jump = lower.select(F.col("id").alias("root"), F.col("root").alias("then"))

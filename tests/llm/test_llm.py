@@ -240,6 +240,12 @@ def test_components_of_a_chain_and_a_star(spark):
     assert {roots[f"n{i:02}"] for i in range(21)} == {"n00"} and {roots[f"z{i}"] for i in range(5)} == {"z"} and "q" not in roots
 
 
+def test_rounds_go_on_until_nothing_changes(spark):
+    with pytest.raises(RuntimeError):
+        matching.propagate(spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0)], "l string, r string, log_odds double"), "l", "r", 0.1, 0.5, rounds=1)
+    assert "rounds" not in names.components.__code__.co_varnames
+
+
 def test_survivors(spark):
     people, _, _, _ = _world()
     groups = spark.createDataFrame([("a1", "a1"), ("a2", "a1")], "id string, root string")

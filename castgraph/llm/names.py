@@ -3,7 +3,7 @@
 A name is read into tokens (reordered, joined, abbreviated or handle forms included). The noisy channel gives the likelihood that one
 spelling came out of another by a typing error, an abbreviation, a nickname, another order. Spellings used within one show are
 ranked, frequent full forms first, as candidate canonical forms; each lower one is attached to the candidate of greatest posterior
-(likelihood times frequency), unless an unrelated person of that name being in the show is more probable. Shared identifiers link too.
+(likelihood times frequency), unless an unrelated person of that name being in the show is more probable.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from castgraph.llm import textnorm, titles
 from castgraph.llm.reflist import plain
-from castgraph.llm.titles import deletions, swaps_distance
-from castgraph.session import cut
+from castgraph.llm.titles import swaps_distance
+from castgraph.session import cut, release
 
 # Usual short forms of given names, titles before names, letters without a decomposition, Cyrillic letters as Latin ones.
 SHORT_FORMS = {
@@ -116,7 +116,11 @@ def respelt(word: str) -> str:
 
 def transliterated(name: Name) -> str:
     """A form shared by a name in Cyrillic letters and the same name in Latin ones."""
-    text = name.joined.translate(CYRILLIC)
+    return transliterate(name.joined)
+
+
+def transliterate(text: str) -> str:
+    text = text.translate(CYRILLIC)
     for a, b in (("w", "u"), ("x", "h"), ("q", "k"), ("y", "i")):
         text = text.replace(a, b)
     return text
@@ -214,31 +218,73 @@ def _by_handle(x: Name, y: Name) -> float | None:
     return None
 
 
-def name_keys(text: str) -> list[str]:
-    """Keys of which any two spellings that the channel can join share one."""
-    name = read_name(text)
+def handle_prefixes(handle: str) -> list[str]:
+    """Beginnings of a handle of which one is a first name with three letters of a last name, however the handle is put together."""
+    return [handle[:n] for n in range(4, len(handle) + 1)]
+
+
+def edge_keys(word: str) -> list[tuple[str, bool]]:
+    """Keys of which two words that fit each other share one: less any letter, as they sound, their formal names; initials have none."""
+    if word.endswith("."):
+        return []
+    keys = {word, *(word[:i] + word[i + 1 :] for i in range(len(word))), "~" + respelt(word)} if len(word) > 2 else set()
+    return [(k, True) for k in {*keys, "=" + word, *("=" + f for f in _FORMAL.get(word, ()))}]
+
+
+def word_fits(a: str, b: str) -> bool:
+    """Whether a word may be a form of another by itself: mistyped, respelt, a nickname."""
+    return _token((a, "w"), (b, "w")) is not None
+
+
+def _halves(word: str) -> list[str]:
+    """Beginnings and ends of about half of a word, of which two words one edit or swap apart share one."""
+    return [half for n in {len(word) // 2, (len(word) - 1) // 2} if n for half in (f"{word[:n]}-", f"-{word[-n:]}")]
+
+
+def name_keys(text: str, near: dict[str, list[str]] | None = None) -> list[tuple[str, bool]]:
+    """Keys of which any two spellings that the channel can join share one, each with whether the spelling looks for others by it.
+
+    The channel needs two words of each name to fit each other. `near` has the words that a rarer word of the name fits, so keys name words as they are: (w)
+    two words, each also as those it fits, (i) one word and the initial of another, for which abbreviated names look; (x) halves of
+    all letters, for which joined, longer and foreign names look; (h) a first name with three letters of a last one, for which handles look. All words of
+    a name are read.
+    """
+    name, near = read_name(text), near or {}
     if not name.tokens:
         return []
-    keys = set()
     if name.handle:
-        return ["h:" + name.handle]
-    if name.foreign:
-        return ["c:" + transliterated(name)]
-    tokens = name.tokens[:4]
-    words = [t for t, _ in tokens]
+        return [("h:" + p, True) for p in handle_prefixes(name.handle)] + [("h=" + name.handle, True)]
+    keys: dict[str, bool] = {}
+
+    def key(k: str, seeks: bool = True) -> None:
+        keys[k] = keys.get(k, False) or seeks
+
+    tokens, words = name.tokens, [t for t, _ in name.tokens]
+    for turn in [words[i:] + words[:i] for i in range(len(words))]:
+        for end in _halves(transliterate("".join(turn))):
+            key(f"x:{end}", name.foreign or len(words) != 2)
+        if len(words) > 1 and not name.foreign:
+            key("h:" + turn[0] + turn[-1][:3], False)
+    if len(words) == 1:
+        for w in (words[0], *near.get(words[0], ())):
+            key(f"w:{w}")
     for n, (word, kind) in enumerate(tokens):
-        if kind != "w" or len(word) < 3:
+        if kind != "w":
             continue
-        letters = {o[0] for m, (o, _) in enumerate(tokens) if m != n} | {f[0] for m, (o, _) in enumerate(tokens) if m != n for f in _FORMAL.get(o, ())}
-        forms = deletions(word) | {"~" + respelt(word)}
-        keys |= {f"{d}|{c}" for d in forms for c in letters or {""}}
-    turns = [words[i:] + words[:i] for i in range(len(words))]
-    for turn in turns:
-        if len(words) > 1:
-            keys.add("h:" + turn[0] + turn[-1][:5])
-    keys |= {"j:" + d for d in ({"".join(t) for t in turns} if len(words) > 1 else {words[0]})}
-    keys.add("c:" + transliterated(name))
-    return sorted(keys)
+        forms = (word, *near.get(word, ()))
+        for m, (other, other_kind) in enumerate(tokens):
+            if m == n:
+                continue
+            short = other_kind != "w"
+            if len(word) >= 3:
+                for c in {other[0], *(f[0] for f in _FORMAL.get(other, ()))}:
+                    for a in forms:
+                        key(f"i:{a}|{c}", short)
+            if not short and m > n and max(len(word), len(other)) >= 3:
+                for a in forms:
+                    for b in (other, *near.get(other, ())):
+                        key(f"w:{min(a, b)}|{max(a, b)}")
+    return sorted(keys.items())
 
 
 def whole_key(text: str) -> str | None:
@@ -320,7 +366,9 @@ def known_shows(cast: DataFrame, shows: DataFrame) -> DataFrame:
     """`cast` with, for references to no show, also the one show whose title the reference spells up to typing errors."""
     ids = shows.where(F.col("id").isNotNull()).select(F.col("id").alias("show")).distinct()
     unknown = cast.select("show").distinct().join(ids, "show", "left_anti")
-    spelt = unknown.select(F.col("show").alias("l"), F.regexp_replace(F.regexp_replace("show", r"-[a-z0-9]{6}$", ""), "-", " ").alias("title"))
+    # A reference is the words of a title, with or without one further part that tells equal titles apart.
+    forms = F.array(F.col("show"), F.regexp_replace("show", r"-[^-]*$", ""))
+    spelt = unknown.select(F.col("show").alias("l"), F.explode(F.transform(forms, lambda f: F.replace(f, F.lit("-"), F.lit(" ")))).alias("title"))
     found = titles.pairs(spelt, shows.where(F.col("id").isNotNull()).select(F.col("id").alias("r"), "title")).where(F.col("score") >= 0.85)
     best = found.groupBy("l").agg(F.max(F.struct("score", "r")).alias("best")).select(F.col("l").alias("show"), F.col("best.r").alias("meant"))
     return cast.unionByName(cast.join(best, "show").select("id", F.col("meant").alias("show"))).distinct()
@@ -364,15 +412,38 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+READ = "tokens array<string>, fullness int"
+
+
+def reading(column: str) -> Column:
+    """A spelling's tokens and fullness."""
+
+    def read(text: str) -> tuple:
+        name = read_name(text)
+        return tokens_of(text), name.fullness
+
+    @F.pandas_udf(READ)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame([read(t) for t in part], columns=["tokens", "fullness"])
+
+    return run(column)
+
+
 def _rarity(spellings: DataFrame) -> DataFrame:
-    """(name, log_p): log probability of a spelling by the frequencies of its tokens among all spellings."""
-    names = spellings.select("name").distinct().withColumn("tokens", _per_name("name", "array<string>", tokens_of))
-    tokens = names.select("name", F.explode("tokens").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    """(name, log_p, fullness, given): log probability of a spelling by the frequencies of its tokens among all spellings; the name and, for each of
+    its words that fits more frequent ones, the word with those."""
+    names = cut(spellings.select("name").distinct().withColumn("_r", reading("name")).select("name", "_r.*"))
+    tokens = names.select("name", F.explode("tokens").alias("word"))
+    counts = cut(tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    edges = titles.edges(counts, edge_keys, word_fits)
     total = names.agg((F.count(F.lit(1)) + 1.0).alias("total"))
-    rare = tokens.join(counts, "token").crossJoin(F.broadcast(total))  # one row
-    rare = rare.groupBy("name").agg(F.sum(F.log(F.col("n") / F.col("total"))).alias("log_p"))
-    return names.select("name").join(rare, "name", "left").select("name", F.greatest(F.coalesce("log_p", F.lit(0.0)), F.lit(-40.0)).alias("log_p"))
+    rare = tokens.join(counts, "word").join(edges, "word", "left").crossJoin(F.broadcast(total))  # one row
+    rare = rare.groupBy("name").agg(F.sum(F.log(F.col("n") / F.col("total"))).alias("log_p"), F.collect_set(F.concat_ws(" ", "word", "near")).alias("near"))
+    known = names.join(rare, "name", "left").select("name", F.greatest(F.coalesce("log_p", F.lit(0.0)), F.lit(-40.0)).alias("log_p"), "fullness", F.concat(F.array("name"), F.coalesce("near", F.array().cast("array<string>"))).alias("given"))
+    known = cut(known)
+    release(names, counts, edges)
+    return known
 
 
 @dataclass(frozen=True)
@@ -390,7 +461,7 @@ def prepare(people: DataFrame, campaigns: DataFrame, shows: DataFrame) -> Spelli
     spelt, wiki = cut(person_spellings(people)), cut(mentions(campaigns))
     shown = cut(shows.where(F.col("id").isNotNull()).select("id", "title").distinct())
     cast = cut(known_shows(cut(person_shows(people)), shown))
-    return Spellings(spelt, cast, wiki, cut(campaign_shows(campaigns, shown)), cut(_rarity(spelt.select("name").unionByName(wiki.select("name")))))
+    return Spellings(spelt, cast, wiki, cut(campaign_shows(campaigns, shown)), _rarity(spelt.select("name").unionByName(wiki.select("name"))))
 
 
 def _by_all_shows(turned: DataFrame, of_people: DataFrame, cast: DataFrame) -> DataFrame:
@@ -428,15 +499,17 @@ def attribute(people: DataFrame, given: Spellings) -> tuple[DataFrame, DataFrame
     )
     nodes = nodes.groupBy("show", "name").agg(F.sum("n_ids").alias("n_ids"), F.min("least").alias("least"), F.sum("n_keys").alias("n_keys"))
     sizes = cast.groupBy("show").agg(F.count(F.lit(1)).alias("cast_size"))
-    nodes = nodes.join(sizes, "show", "left").join(given.rarity, "name")
-    nodes = nodes.withColumn("fullness", _per_name("name", "int", lambda t: read_name(t).fullness))
+    nodes = nodes.join(sizes, "show", "left").join(given.rarity.drop("given"), "name")
     nodes = cut(nodes.withColumn("node", F.xxhash64("show", "name")))
 
-    keyed = nodes.select("name").distinct().withColumn("keys", _per_name("name", "array<string>", name_keys)).select("name", F.explode(F.transform("keys", lambda k: F.xxhash64(k))).alias("k"))
-    keyed = nodes.join(keyed, "name").select("node", (F.col("n_ids") > 0).alias("known"), F.xxhash64("show", "k").alias("k"))
-    left, right = keyed.select("k", F.col("node").alias("v"), F.col("known").alias("v_known")), keyed.where("known").select("k", F.col("node").alias("c"))
-    pairs = left.join(right, "k").where((F.col("v") != F.col("c")) & (~F.col("v_known") | (F.col("v") < F.col("c")))).select("v", "c").distinct()
-    pairs = cut(pairs)
+    keyed = titles.with_keys(given.rarity.select("name", "given"), "given", lambda g: name_keys(g[0], {w: rest for w, *rest in map(str.split, g[1:]) if rest}))
+    keyed = nodes.select("show", "name", "node", (F.col("n_ids") > 0).alias("known")).join(keyed, "name")
+    keyed = cut(keyed.select("node", "known", F.xxhash64("show", "key").alias("k"), F.col("flag").alias("seeks")))
+    seekers, others = keyed.where("seeks").select("k", F.col("node").alias("a"), F.col("known").alias("a_known")), keyed.select("k", F.col("node").alias("b"), F.col("known").alias("b_known"))
+    met = seekers.join(others, "k").where((F.col("a") != F.col("b")) & (F.col("a_known") | F.col("b_known")))
+    ahead = ~F.col("a_known") | (F.col("b_known") & (F.col("a") < F.col("b")))  # a mention, else the lesser node, comes first
+    pairs = cut(met.select(F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("v"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("c")).distinct())
+    release(keyed)
 
     def side(prefix: str) -> DataFrame:
         return nodes.select(*[F.col(c).alias(f"{prefix}_{c}") for c in ("node", "name", "n_ids", "n_keys", "least", "log_p", "fullness", "cast_size")])
@@ -459,14 +532,14 @@ def attribute(people: DataFrame, given: Spellings) -> tuple[DataFrame, DataFrame
     chosen = turned.where(odds > 0).groupBy("low_node").agg(F.max(F.struct(posterior, F.col("high_least").alias("b"), F.col("low_least").alias("a"))).alias("best"))
     by_name = chosen.select("best.a", "best.b").unionByName(_by_all_shows(turned, of_people, cast))
 
-    same_node = of_people.join(nodes.where("n_ids > 1").select("show", "name", "least"), ["show", "name"]).select(F.col("id").alias("a"), F.col("least").alias("b"))
-    qids = people.where(F.col("wikidata_qid").rlike(r"\AQ[0-9]+\z") & F.col("id").isNotNull()).select("id", "wikidata_qid").distinct().join(cast, "id")
-    holders = qids.groupBy("wikidata_qid", "show").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    by_qid = qids.join(holders, ["wikidata_qid", "show"])
-    links = by_name.unionByName(same_node).unionByName(by_qid.select(F.col("id").alias("a"), "b")).where(F.col("a") != F.col("b")).distinct()
+    # The same spelling is a form of itself: it passes the same test.
+    chance = F.log(F.greatest(F.coalesce("cast_size", F.lit(1)), F.lit(1))) + F.col("log_p")
+    shared = nodes.where((F.col("n_ids") > 1) & (F.lit(SAME + math.log(ANOTHER_FORM)) - chance > 0))
+    same_node = of_people.join(shared.select("show", "name", "least"), ["show", "name"]).select(F.col("id").alias("a"), F.col("least").alias("b"))
+    links = by_name.unionByName(same_node).where(F.col("a") != F.col("b")).distinct()
 
     # Mentions: the same spelling in the show, else the person's form of greatest posterior.
-    direct = nodes.where("n_ids > 0 AND n_keys > 0").select("node", "least")
+    direct = nodes.where((F.col("n_ids") > 0) & (F.col("n_keys") > 0) & (F.lit(SAME + math.log(NAMED_IN_SHOW)) - chance > 0)).select("node", "least")
     named = judged.where("v_n_ids = 0").where(F.col("log_l") + math.log(NAMED_IN_SHOW) - F.log(F.greatest(F.col("cast_size"), F.lit(1))) - F.when(F.col("typo"), F.least("v_log_p", "c_log_p")).otherwise(F.col("v_log_p")) > 0)
     named = named.groupBy(F.col("v").alias("node")).agg(F.max(F.struct(F.col("log_l") + F.log("c_n_ids"), F.col("c_least").alias("least"))).alias("best")).select("node", "best.least")
     meant = of_wiki.withColumn("node", F.xxhash64("show", "name")).join(direct.unionByName(named), "node").select("key", F.col("least").alias("id")).distinct()

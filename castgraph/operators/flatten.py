@@ -64,6 +64,21 @@ class StructuralIndex:
         self.colon = np.flatnonzero(outside & (data == 58))
         self.colon_depth = depth_before[self.colon]
         self.record_of = record_of
+        self.text = np.flatnonzero((data != 32) & (data != 9) & (data != 10) & (data != 13))  # all bytes but blanks
+
+    def _next(self, at: np.ndarray) -> np.ndarray:
+        """The first byte from each place on that is no blank, however many blanks come first; the end of the block if there is none."""
+        if not len(self.text):
+            return np.full(len(at), len(self.data))
+        n = np.searchsorted(self.text, at)
+        return np.where(n < len(self.text), self.text[np.minimum(n, len(self.text) - 1)], len(self.data))
+
+    def _before(self, end: np.ndarray) -> np.ndarray:
+        """The place after the last byte before each end that is no blank; 0 if there is none."""
+        if not len(self.text):
+            return np.zeros(len(end), dtype=np.int64)
+        n = np.searchsorted(self.text, end) - 1
+        return np.where(n >= 0, self.text[np.maximum(n, 0)] + 1, 0)
 
     def arrays(self, key: str, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Brackets of the arrays that are the values of `key` in objects whose members have the depth."""
@@ -84,12 +99,7 @@ class StructuralIndex:
         colon, at = colon[ok], at[ok]
         opened = self.open[at]
         # The value is an array if its bracket is the first byte after the colon that is no blank.
-        value = colon + 1
-        for _ in range(64):
-            blank = np.isin(self.data[np.minimum(value, len(self.data) - 1)], (32, 9, 10, 13)) & (value < opened)
-            if not blank.any():
-                break
-            value = value + blank
+        value = self._next(colon + 1)
         opened = opened[(opened == value) & (self.data[opened] == 91)]
         return opened, self._ends(opened, depth)
 
@@ -110,12 +120,8 @@ class StructuralIndex:
         start = np.where(pos == 0, opened[owner], comma[np.minimum(np.maximum(number - 1, 0), max(len(comma) - 1, 0))] if len(comma) else opened[owner]) + 1
         last = pos == count[owner] - 1
         end = np.where(last, closed[owner], comma[np.minimum(number, max(len(comma) - 1, 0))] if len(comma) else closed[owner])
-        for _ in range(64):  # blanks around an element
-            lead = (start < end) & np.isin(self.data[np.minimum(start, len(self.data) - 1)], (32, 9, 10, 13))
-            tail = (end > start) & np.isin(self.data[np.maximum(end - 1, 0)], (32, 9, 10, 13))
-            if not (lead.any() or tail.any()):
-                break
-            start, end = start + lead, end - (tail & (end - start > lead))
+        start = np.minimum(self._next(start), end)
+        end = np.maximum(self._before(end), start)
         size = end - start
         first = self.data[np.minimum(start, len(self.data) - 1)] if len(self.data) else start
         real = (size > 0) & ~((size == 4) & (first == 110))  # neither an empty array nor null

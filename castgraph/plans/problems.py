@@ -17,7 +17,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Orphans per table, field, status and month."""
-    return orphans.orphan_counts(orphans.orphan_references(table(spark, folder, "people"), table(spark, folder, "shows"), table(spark, folder, "games")))
+    return orphans.orphan_counts(table(spark, folder, "people"), table(spark, folder, "shows"), table(spark, folder, "games"))
 
 
 def _elements(spark: SparkSession, folder: str) -> DataFrame:

@@ -59,19 +59,32 @@ def test_orphans(tables):
         ("people", 1, 2, "season", "9", "missing"), ("people", 1, 2, "alias", "b", "missing"), ("people", 1, 3, "show", "gone", "removed"), ("people", 1, 4, "show", "late", "late"),
         ("people", 1, 5, "show", "no", "missing"), ("shows", 1, 0, "game", "x", "missing"),
     }
-    assert {r["period"] for r in orphans.orphan_counts(orphans.orphan_references(*tables)).collect()} == {"2024-01"}
+    counts = {(r["src"], r["field"], r["status"], r["period"], r["n_refs"], r["n_keys"]) for r in orphans.orphan_counts(*tables).collect()}
+    assert counts == {(*k, "2024-01", 1, 1) for k in [("people", "season", "missing"), ("people", "alias", "missing"), ("people", "show", "removed"), ("people", "show", "late"), ("people", "show", "missing"), ("shows", "game", "missing")]}
+
+
+def test_counts_within_a_month_that_a_show_is_removed_in(spark):
+    people = [person(i, f"p{i}", day(i), credits=[credit("s"), credit("t"), credit("s", 2)]) for i in range(1, 11)]
+    shows = [show(1, "s", day(3), day(7), [1]), show(2, "t", day(20))]
+    given = spark.createDataFrame(people, PEOPLE), spark.createDataFrame(shows, SHOWS), spark.createDataFrame([], "id string")
+    counts = {(r["field"], r["status"]): (r["n_refs"], r["n_keys"]) for r in orphans.orphan_counts(*given).collect()}
+    assert counts == {("show", "removed"): (8, 1), ("show", "late"): (14, 2), ("season", "missing"): (10, 1)}
+    found = orphans.orphan_references(*given).groupBy("field", "status").agg(F.count("*").alias("n")).collect()
+    assert {(r["field"], r["status"]): r["n"] for r in found} == {k: n for k, (n, _) in counts.items()}
 
 
 def test_orphans_of_empty_tables(spark):
     empty = spark.createDataFrame([], PEOPLE), spark.createDataFrame([], SHOWS), spark.createDataFrame([], "id string")
-    assert orphans.orphan_references(*empty).count() == 0
+    assert orphans.orphan_references(*empty).count() == 0 and orphans.orphan_counts(*empty).count() == 0
 
 
-def test_heavy_keys_give_the_same_lookup(spark):
-    refs = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 7}") for i in range(300)] + [(-1, None)], "i int, k string")
-    targets = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3)], "t string, v int")
-    plain = {tuple(r) for r in refs.join(targets, refs.k == targets.t, "left").collect()}
-    assert {tuple(r) for r in orphans.split_lookup(refs, "k", targets, "t", share=0.1, at_least=5).collect()} == plain
+@pytest.mark.parametrize("share", [0.001, 0.1, 0.9])
+def test_heavy_keys_give_the_same_orphans(spark, share):
+    refs = [("hot", 1, 1000), ("cold", 1, 500), *[(f"k{i}", i % 3, i) for i in range(1, 30)], (None, 1, 9)]
+    counts = spark.createDataFrame(refs, "k string, season int, n_refs long")
+    targets = spark.createDataFrame([("hot",), ("k3",), ("k3",), (None,)], "t string")
+    expected = {r for r in refs if r[0] not in ("hot", "k3", None)}
+    assert {tuple(r) for r in orphans.anti_counts(counts, "k", targets, "t", share).select("k", "season", "n_refs").collect()} == expected
 
 
 def _brute(records):
@@ -270,3 +283,12 @@ def test_cast_lists_are_read_to_their_ends():
     assert extraction.credits_of_description("\n\n".join(["Cast:", *lines])) == cast
     assert extraction.credits_of_description("\n".join(["Cast:", *lines[:3], "", "See you soon", "", "Players", *lines[3:], "", "Otto Marlow"])) == [*cast, ("Otto Marlow", "player", None)]
     assert len(extraction.credits_of_description("\n".join(["Cast:", *lines]), window=60)) == 60
+
+
+@pytest.mark.parametrize("blanks", [1, 64, 65, 1000])
+def test_any_number_of_blanks_in_json(spark, blanks):
+    gap = " " * blanks
+    text_ = f'{{"a":{gap}[{gap}1{gap},{gap}null{gap},{gap}{{"b":{gap}[{gap}2{gap}]{gap}}}{gap}]{gap}, "c": [{gap}]}}'
+    df = spark.createDataFrame([(7, text_)], "k long, t string")
+    found = {(r["child"], r["pos"], r["subpos"], "".join(r["value"].split())) for r in flatten.flatten_json(df, "k", "t", [flatten.Child("a", "a"), flatten.Child("b", "a", "b"), flatten.Child("c", "c")]).collect()}
+    assert found == {("a", 0, -1, "1"), ("a", 2, -1, '{"b":[2]}'), ("b", 2, 0, "2")}

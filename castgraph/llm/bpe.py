@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -232,17 +233,20 @@ def share_vocabulary(spark: SparkSession, path: str | None = None):
     return spark.sparkContext.broadcast(Vocabulary(path or vocabulary_path()))
 
 
-def blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about BLOCK_CHARS; a longer text is a range by itself."""
+def blocks(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """A batch's texts in runs of about BLOCK_CHARS bytes, each with the row it begins at; a longer text is a run by itself.
+
+    Only one run at a time becomes Python strings, whatever the batch holds.
+    """
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     begin, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
+    for i, n in enumerate(sizes.tolist()):
         if size and size + n > BLOCK_CHARS:
-            yield begin, i
+            yield begin, column.slice(begin, i - begin).to_pylist()
             begin, size = i, 0
         size += n
-    if begin < len(texts):
-        yield begin, len(texts)
+    if begin < len(sizes):
+        yield begin, column.slice(begin).to_pylist()
 
 
 def encode_column(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
@@ -257,14 +261,13 @@ def encode_column(df: DataFrame, key: str, text: str, path: str | None = None) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shared)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                words = [encoder.split(t) if t else [] for t in texts[a:b]]
-                each = np.fromiter(map(len, words), dtype=np.int64, count=b - a)
+            for a, texts in blocks(batch.column(1)):
+                words = [encoder.split(t) if t else [] for t in texts]
+                each = np.fromiter(map(len, words), dtype=np.int64, count=len(texts))
                 ids, size = encoder.gather(encoder.numbers([w for ws in words for w in ws]))
                 passed = np.concatenate([[0], np.cumsum(size)])
                 offsets = passed[np.concatenate([[0], np.cumsum(each)])].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=[key, "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), lists], names=[key, "ids"])
 
     return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)

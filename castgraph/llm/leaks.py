@@ -17,10 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from castgraph.llm.bpe import blocks
+
 MIN_WORDS = 12
 MAX_EDITS = 1
-#: Items searched for in one pass over the corpus; more are searched for in further passes, which bounds what is sent to tasks.
-ITEMS_A_PASS = 20_000
+#: Items, and bytes of their texts, searched for in one pass over the corpus; more are searched for in further passes, which bounds what is
+#: sent to tasks. Only an item that is longer by itself makes a greater pass.
+ITEMS_A_PASS, BYTES_A_PASS = 20_000, 32 << 20
 
 _separators = re.compile(r"[\W_]+")
 
@@ -157,6 +160,18 @@ class Items:
         return None if least > k else (b - a, least)
 
 
+def _passes(items: DataFrame, item_key: str, item_text: str) -> int:
+    """The number of passes by which no pass has more than ITEMS_A_PASS items or BYTES_A_PASS bytes, unless it has one item only."""
+    passes = 1
+    while True:
+        part = F.pmod(F.xxhash64(item_key), F.lit(passes))
+        sizes = items.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(item_text)).alias("size"))
+        beyond = sizes.where((F.col("n") > 1) & ((F.col("n") > ITEMS_A_PASS) | (F.col("size") > BYTES_A_PASS)))
+        if beyond.isEmpty():
+            return passes
+        passes *= 2
+
+
 def find_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = MIN_WORDS, max_edits: int = MAX_EDITS) -> DataFrame:
     """(key, item_key, n_words, edits): the items of which a window of min_words words is in a document with at most max_edits edits.
 
@@ -164,14 +179,14 @@ def find_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item
     window; with max_edits = 0 or the condition n_words >= min_words the leaks are exact. Words are maximal runs of letters or
     digits, compared without case. Null and empty texts, and items of fewer words than a window, give no row. Each document is
     searched whole, however long; the same text in several documents counts for each. A document and item give one row. Repeated
-    document rows give repeated rows. Items are counted first and searched for in passes of ITEMS_A_PASS, so what a task is sent
-    has a bound whatever their number.
+    document rows give repeated rows. Items are counted and measured first and searched for in passes, so what a task is sent
+    has a bound whatever their number and length.
     """
     spark = documents.sparkSession
     kinds = documents.schema[key].dataType, items.schema[item_key].dataType
     schema = f"`{key}` {kinds[0].simpleString()}, `{item_key}` {kinds[1].simpleString()}, n_words int, edits int"
     wanted = items.where(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).select(item_key, item_text).distinct()
-    passes = max(1, -(-wanted.count() // ITEMS_A_PASS))
+    passes = _passes(wanted, item_key, item_text)
     source = documents.where(F.octet_length(text) >= 2 * min_words - 1).select(F.col(key), F.col(text))
     found = None
     for n in range(passes):
@@ -188,10 +203,11 @@ def _searcher(shared, key: str, item_key: str, kinds: tuple, min_words: int, max
         for batch in batches:
             rows, owner = [], []
             if not items.empty:
-                for i, text in enumerate(batch.column(1).to_pylist()):
-                    for row in items.search(text):
-                        owner.append(i)
-                        rows.append(row)
+                for a, texts in blocks(batch.column(1)):
+                    for i, text in enumerate(texts, a):
+                        for row in items.search(text):
+                            owner.append(i)
+                            rows.append(row)
             if rows:
                 item, words, edits = zip(*rows)
                 columns = [batch.column(0).take(pa.array(owner)), pa.array(item), pa.array(words, pa.int32()), pa.array(edits, pa.int32())]

@@ -20,23 +20,22 @@ from castgraph.llm import bpe
 LIMIT, OVERLAP = 1024, 64
 #: A cut may lie this share of a piece's length away from its target.
 SLACK = 0.15
-#: A word of the pattern with more code points than this is itself cut.
-LONGEST_WORD = 200
-#: Code points of the parts of such a word.
-PART = 24
+#: A word of the pattern with more tokens than this may itself be cut, into parts of about so many tokens.
+LONGEST_WORD, PART = 16, 4
 
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n|[  ]")
 _SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*\Z")
 
 
-def _fit(words: list[str]) -> tuple[list[str], np.ndarray]:
+def _fit(words: list[str], size: np.ndarray) -> tuple[list[str], np.ndarray]:
     """The words with the overlong ones cut, and whether each begins inside a word."""
-    if max(map(len, words), default=0) <= LONGEST_WORD:
+    if not len(size) or size.max() <= LONGEST_WORD:
         return words, np.zeros(len(words), dtype=bool)
     out, inside = [], []
-    for w in words:
-        for i in range(0, len(w), PART if len(w) > LONGEST_WORD else len(w)):
-            out.append(w[i : i + PART] if len(w) > LONGEST_WORD else w)
+    for w, n in zip(words, size.tolist()):
+        step = max(1, len(w) * PART // n) if n > LONGEST_WORD else len(w)
+        for i in range(0, len(w), step):
+            out.append(w[i : i + step])
             inside.append(i > 0)
     return out, np.array(inside)
 
@@ -137,15 +136,40 @@ def _greedy(passed: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int
     return pieces
 
 
+def _by_code_points(encoder: bpe.Encoder, text: str, limit: int, overlap: int) -> list[tuple[str, int, int, int]]:
+    """Where tokens of words don't add up: pieces measured as they are, each the longest that halving finds to fit, cut at any code point."""
+
+    def longest(begin: int, end: int, most: int, back: bool) -> int:
+        """How many code points after `begin`, or before `end`, are at most so many tokens; at least one."""
+        good, bad = 1, end - begin + 1
+        while bad - good > 1:
+            n = (good + bad) // 2
+            good, bad = (n, bad) if encoder.count(text[end - n : end] if back else text[begin : begin + n]) <= most else (good, n)
+        return good
+
+    out, begin, fresh = [], 0, 0
+    while fresh < len(text):
+        end = begin + longest(begin, min(len(text), begin + 16 * limit), limit, False)
+        if end <= fresh:
+            begin = fresh
+            continue
+        out.append((text[begin:end], encoder.count(text[begin:end]), begin, fresh - begin))
+        begin, fresh = end - longest(max(begin, end - 16 * overlap), end, overlap, True) if overlap else end, end
+    return out
+
+
 def split_text(encoder: bpe.Encoder, words: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[str, int, int, int]]:
     """(piece, its tokens, code point at which it begins, code points of overlap) of one text given as its words.
 
     A piece is encoded by itself: its last white space may join otherwise, and a cut word's parts do; such pieces are counted
     anew, and one that exceeds the limit makes the text be cut for a limit less by what it exceeds.
     """
-    words, inside = _fit(words)
-    numbers = encoder.numbers(words)
-    size = encoder.offsets[numbers + 1] - encoder.offsets[numbers]
+    def tokens_of(words: list[str]) -> np.ndarray:
+        numbers = encoder.numbers(words)
+        return encoder.offsets[numbers + 1] - encoder.offsets[numbers]
+
+    words, inside = _fit(words, tokens_of(words))
+    size = tokens_of(words)
     at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))])
     strength = strengths(words, inside)
     aim = limit
@@ -158,9 +182,11 @@ def split_text(encoder: bpe.Encoder, words: list[str], limit: int = LIMIT, overl
                 tokens = encoder.count(piece)
             most = max(most, tokens)
             out.append((piece, tokens, int(at[start]), int(at[fresh] - at[start])))
-        if most <= limit or aim <= limit // 2:
+        if most <= limit:
             return out
         aim -= most - limit
+        if aim <= limit // 2:
+            return _by_code_points(encoder, "".join(words), limit, overlap)
 
 
 def split_oversized(df: DataFrame, key: str, text: str, path: str | None = None, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -177,10 +203,9 @@ def split_oversized(df: DataFrame, key: str, text: str, path: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.worker_encoder(shared)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in bpe.blocks(texts):
-                words = [encoder.split(t) for t in texts[a:b]]
-                each = np.fromiter(map(len, words), dtype=np.int64, count=b - a)
+            for a, texts in bpe.blocks(batch.column(1)):
+                words = [encoder.split(t) for t in texts]
+                each = np.fromiter(map(len, words), dtype=np.int64, count=len(texts))
                 numbers = encoder.numbers([w for ws in words for w in ws])
                 passed = np.concatenate([[0], np.cumsum((encoder.offsets[numbers + 1] - encoder.offsets[numbers]))])
                 ends = np.cumsum(each)

@@ -9,14 +9,23 @@ from castgraph.llm import bpe, leaks, matching, names, pieces, reflist, survivor
 from castgraph.session import table
 
 
+def _lists(spark: SparkSession, folder: str) -> list[DataFrame]:
+    return [table(spark, folder, t) for t in ("wiki_campaigns", "games", "credit_fields")] + [reflist.field_aliases(spark)]
+
+
 def _mapped(spark: SparkSession, folder: str) -> DataFrame:
-    return reflist.map_campaigns(table(spark, folder, "wiki_campaigns"), table(spark, folder, "games"), table(spark, folder, "credit_fields"))
+    return reflist.map_campaigns(*_lists(spark, folder))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return _mapped(spark, folder).drop("value")
 
 
+def p1_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Every entry within distance of each distinct value."""
+    return reflist.entries_within(*_lists(spark, folder))
+
+
 def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     """Values without an entry, with their numbers of rows."""
     return reflist.unmatched_report(_mapped(spark, folder))
@@ -88,7 +97,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_pieces(spark, folder).where(F.col("piece_no") == 0).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p3_found, p3_survivors, p4_found, p4_confidence, p6_found, p6_names, p8_ids, p9_found, p9_leaks, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entries, p1_unmatched, p2_found, p3_found, p3_survivors, p4_found, p4_confidence, p6_found, p6_names, p8_ids, p9_found, p9_leaks, p10_found, p10_pieces)}
 
 ORACLE = {
     "p9_found": r"""

@@ -14,14 +14,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from castgraph.llm.textnorm import normaliser
 
 UNMATCHED = "unmatched"
-#: Entries in one trie; a longer list is searched in several passes, which bounds what is sent to tasks.
-ENTRIES_A_PASS = 50_000
+#: Entries of one trie and bytes of their text; a longer list is searched in several passes, which bounds what the driver and tasks hold at once.
+ENTRIES_A_PASS, BYTES_A_PASS = 50_000, 32 << 20
 #: Values a worker remembers; only speed depends on it.
 REMEMBERED = 200_000
 
@@ -95,27 +95,19 @@ class Trie:
             node = node.setdefault(c, {})
         node.setdefault("", set()).add(entry)
 
-    def exact(self, words: list[str]) -> dict[int, int]:
-        """The entries of which some path is just these words."""
-        node = self.root
-        for c in " ".join(words):
-            node = node.get(c)
-            if node is None:
-                return {}
-        return dict.fromkeys(node.get("", ()), 0)
-
-    def search(self, words: list[str]) -> dict[int, int]:
-        """Least distance of each entry of which some path has as many words, each within its word's budget."""
+    def search(self, words: list[str], exact: bool = False) -> dict[int, int]:
+        """Least distance of each entry of which some path has as many words, each within its word's budget; with `exact`, within none."""
+        allowed = (lambda length: 0) if exact else budget
         found: dict[int, int] = {}
         level = [(self.root, 0)]
         for i, word in enumerate(words):
-            automaton, after = Automaton(word, budget(len(word) + 1)), []
+            automaton, after = Automaton(word, allowed(len(word) + 1)), []
             for node, passed in level:
                 stack = [(node, automaton.start(), 0)]
                 while stack:
                     at, state, depth = stack.pop()
                     d = automaton.distance(state)
-                    if depth and d <= budget(max(len(word), depth)):
+                    if depth and d <= allowed(max(len(word), depth)):
                         if i == len(words) - 1:
                             for entry in at.get("", ()):
                                 found[entry] = min(found.get(entry, 99), passed + d)
@@ -187,8 +179,8 @@ def game_entry(game_id: str, name: str, edition: str | None, publisher: str | No
     return Entry(game_id, " ".join(bare), read_edition(edition or "")[1], tuple(sorted(paths)))
 
 
-def field_entry(field_id: str, label: str | None) -> Entry:
-    spellings = {" ".join(words_of(s)) for s in [field_id, label or field_id, *FIELD_ALIASES.get(field_id, [])]}
+def field_entry(field_id: str, label: str | None, aliases: list[str] | None = None) -> Entry:
+    spellings = {" ".join(words_of(s)) for s in [field_id, label or field_id, *(aliases or [])]}
     spellings |= {s.replace(" ", "") for s in spellings if len(s) > 6}
     return Entry(field_id, field_id, None, tuple(sorted(spellings)))
 
@@ -217,20 +209,22 @@ class Mapper:
         return [w for n, w in enumerate(out) if w and w not in out[:n]]
 
     def candidates(self, value: str, nearest: bool = False) -> list[tuple[str, str, int | None, int]]:
-        """(id, name, edition, distance) of all entries within distance of the value; with `nearest`, only exact ones if there are any."""
+        """(id, name, edition, distance) of all entries within distance of the value; with `nearest`, those at no distance if there are any.
+
+        The automaton is first run without a budget, which follows one path only, and then with each word's.
+        """
         text = clean(value)
         if self.kind == "game":
             text = _noise.sub(" ", read_edition(_noise.sub(" ", text))[0])
         else:
             text = _number.sub("", re.sub(r"\(s\)|[:*#]+", " ", re.sub(r"[_\s]+", " ", text), flags=re.I).strip())
         best: dict[int, int] = {}
-        spellings = self._spellings(text)
-        if nearest:
-            for words in spellings:
-                best |= self.trie.exact(words)
-        for words in spellings if not best else ():
-            for n, d in self.trie.search(words).items():
-                best[n] = min(best.get(n, 99), d)
+        for exact in (True, False) if nearest else (False,):
+            for words in self._spellings(text):
+                for n, d in self.trie.search(words, exact).items():
+                    best[n] = min(best.get(n, 99), d)
+            if best:
+                break
         return [(self.entries[n].id, self.entries[n].name, self.entries[n].edition, d) for n, d in sorted(best.items())]
 
 
@@ -248,53 +242,122 @@ def resolve(kind: str, value: str, candidates: list) -> str:
     return fits[0] if len(fits) == 1 or (fits and stated is not None) else UNMATCHED
 
 
-def game_entries(games: DataFrame) -> list[list[Entry]]:
-    return _passes([game_entry(*r) for r in games.where("id IS NOT NULL AND name IS NOT NULL").select("id", "name", "edition", "publisher").distinct().toLocalIterator()])
+def _passes(entries: DataFrame) -> list[DataFrame]:
+    """The list in parts of at most ENTRIES_A_PASS entries and BYTES_A_PASS bytes, but for an entry that is longer by itself."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in entries.columns), F.lit(0))
+    passes = 1
+    while True:
+        part = F.pmod(F.xxhash64("id"), F.lit(passes))
+        beyond = entries.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size")).where((F.col("n") > 1) & ((F.col("n") > ENTRIES_A_PASS) | (F.col("size") > BYTES_A_PASS)))
+        if beyond.isEmpty():
+            return [entries.where(part == n) for n in range(passes)] if passes > 1 else [entries]
+        passes *= 2
 
 
-def field_entries(fields: DataFrame) -> list[list[Entry]]:
-    return _passes([field_entry(*r) for r in fields.where("id IS NOT NULL").select("id", "label").distinct().toLocalIterator()])
+def game_list(games: DataFrame) -> DataFrame:
+    return games.where("id IS NOT NULL AND name IS NOT NULL").select("id", "name", "edition", "publisher").distinct()
 
 
-def _passes(entries: list[Entry]) -> list[list[Entry]]:
-    entries = sorted(entries, key=lambda e: (e.name, e.id))
-    return [entries[i : i + ENTRIES_A_PASS] for i in range(0, len(entries), ENTRIES_A_PASS)] or [[]]
+def field_list(fields: DataFrame, aliases: DataFrame | None) -> DataFrame:
+    """(id, label, spellings): the entries with the spellings a table (id, alias) has for them."""
+    rows = fields.where("id IS NOT NULL").groupBy("id").agg(F.min("label").alias("label"))
+    if aliases is None:
+        return rows.withColumn("spellings", F.array().cast("array<string>"))
+    return rows.join(aliases.where("alias IS NOT NULL").groupBy("id").agg(F.collect_set("alias").alias("spellings")), "id", "left")
 
 
-def mapped(values: Column, kind: str, passes: list[list[Entry]]) -> Column:
-    """The id of the entry each value means, or `unmatched`; null and blank values are unmatched.
+def field_aliases(spark: SparkSession) -> DataFrame:
+    """(id, alias): the usual labels above as a table; any other table of the kind can be passed instead."""
+    return spark.createDataFrame([(i, a) for i, aliases in FIELD_ALIASES.items() for a in aliases], "id string, alias string")
 
-    Rows are mapped where they are, without a shuffle; a worker searches a value once however often it comes, so a value that
-    fills a third of the rows costs no more than another.
-    """
 
-    @F.pandas_udf("string")
+def _mapper(kind: str, rows: list[tuple]) -> Mapper:
+    return Mapper(kind, sorted((game_entry(*r) if kind == "game" else field_entry(*r) for r in rows), key=lambda e: (e.name, e.id)))
+
+
+CANDIDATES = "array<struct<id: string, name: string, edition: int, distance: int>>"
+
+
+def candidates(values: Column, kind: str, rows, nearest: bool = False) -> Column:
+    """All entries of one pass (a broadcast of its rows) within distance of each value."""
+
+    @F.pandas_udf(CANDIDATES)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        mappers = [Mapper(kind, entries) for entries in passes]
-        known: dict[str, str] = {}
+        mapper, known = _mapper(kind, rows.value), {}
         for part in parts:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for value in part.dropna().unique():
-                if value not in known:
-                    known[value] = resolve(kind, value, [c for m in mappers for c in m.candidates(value, nearest=True)]) if value.strip() else UNMATCHED
-            yield part.map(known).where(part.notna(), UNMATCHED)
+            yield _each(part, known, lambda v: [dict(zip(("id", "name", "edition", "distance"), c)) for c in mapper.candidates(v, nearest)], [])
 
     return run(values)
 
 
-def map_campaigns(campaigns: DataFrame, games: DataFrame, fields: DataFrame) -> DataFrame:
+def _each(part: pd.Series, known: dict, function, otherwise) -> pd.Series:
+    """The function of each value, worked out once a value; `otherwise` for null and blank ones."""
+    if len(known) > REMEMBERED:
+        known.clear()
+    for value in part.dropna().unique():
+        if value not in known:
+            known[value] = function(value) if value.strip() else otherwise
+    return pd.Series([otherwise if v is None or v != v else known[v] for v in part], index=part.index)
+
+
+def mapped(df: DataFrame, column: str, kind: str, entries: DataFrame) -> DataFrame:
+    """`df` with ref_id, the id of the entry each value of the column means, or `unmatched`; null and blank values are unmatched.
+
+    Rows are mapped where they are, without a shuffle; a worker searches a value once however often it comes, so a value that
+    fills a third of the rows costs no more than another. Of a list of several passes each is broadcast by itself, and the entries
+    found in all of them are weighed together.
+    """
+    shared = [df.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()]) for part in _passes(entries)]
+    if len(shared) == 1:
+
+        @F.pandas_udf("string")
+        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            mapper, known = _mapper(kind, shared[0].value), {}
+            for part in parts:
+                yield _each(part, known, lambda v: resolve(kind, v, mapper.candidates(v, nearest=True)), UNMATCHED)
+
+        return df.withColumn("ref_id", run(column))
+
+    @F.pandas_udf("string")
+    def weigh(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for values, found in parts:
+            yield pd.Series([resolve(kind, v, [(c["id"], c["name"], None if c["edition"] is None or c["edition"] != c["edition"] else int(c["edition"]), c["distance"]) for c in some]) if v is not None and v.strip() else UNMATCHED for v, some in zip(values, found)])
+
+    for n, rows in enumerate(shared):
+        df = df.withColumn(f"_pass{n}", candidates(F.col(column), kind, rows, nearest=True))
+    return df.withColumn("ref_id", weigh(column, F.concat(*[f"_pass{n}" for n in range(len(shared))]))).drop(*[f"_pass{n}" for n in range(len(shared))])
+
+
+def _systems(campaigns: DataFrame) -> DataFrame:
+    return campaigns.where(F.length(F.trim(F.regexp_replace("system", r"[\s\p{Z}]+", " "))) > 0).select("campaign_id", F.lit(-1).alias("group_pos"), F.col("system").alias("value"))
+
+
+def _fields(campaigns: DataFrame) -> DataFrame:
+    groups = campaigns.select("campaign_id", F.posexplode("credits").alias("group_pos", "_g")).where(F.col("_g").isNotNull())
+    return groups.select("campaign_id", "group_pos", F.col("_g.field").alias("value"))
+
+
+def map_campaigns(campaigns: DataFrame, games: DataFrame, fields: DataFrame, aliases: DataFrame | None) -> DataFrame:
     """(campaign_id, group_pos, value, ref_id): each system that is not blank (group_pos -1) and each credit group's field.
 
     A value with no entry has ref_id `unmatched`. Null and blank systems, null arrays and null groups give no row; a group with a
-    null or blank field is unmatched. Empty lists make everything unmatched. Repeated campaign rows give repeated rows.
+    null or blank field is unmatched. Empty lists make everything unmatched. Repeated campaign rows give repeated rows. `aliases` has
+    further spellings (id, alias) of the fields.
     """
-    systems = campaigns.where(F.length(F.trim(F.regexp_replace("system", r"[\s\p{Z}]+", " "))) > 0).select("campaign_id", F.lit(-1).alias("group_pos"), F.col("system").alias("value"))
-    groups = campaigns.select("campaign_id", F.posexplode("credits").alias("group_pos", "_g")).where(F.col("_g").isNotNull())
-    groups = groups.select("campaign_id", "group_pos", F.col("_g.field").alias("value"))
-    return systems.withColumn("ref_id", mapped(F.col("value"), "game", game_entries(games))).unionByName(
-        groups.withColumn("ref_id", mapped(F.col("value"), "field", field_entries(fields)))
-    )
+    systems = mapped(_systems(campaigns), "value", "game", game_list(games))
+    return systems.unionByName(mapped(_fields(campaigns), "value", "field", field_list(fields, aliases)))
+
+
+def entries_within(campaigns: DataFrame, games: DataFrame, fields: DataFrame, aliases: DataFrame | None) -> DataFrame:
+    """(value, is_system, id, distance): all entries within distance of each distinct value, by the automaton; values without any give no row."""
+    spark, out = campaigns.sparkSession, None
+    for kind, values, entries in (("game", _systems(campaigns), game_list(games)), ("field", _fields(campaigns), field_list(fields, aliases))):
+        distinct = values.where(F.col("value").isNotNull()).select("value").distinct()
+        for part in _passes(entries):
+            rows = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
+            found = distinct.select("value", F.lit(kind == "game").alias("is_system"), F.explode(candidates(F.col("value"), kind, rows)).alias("_c")).select("value", "is_system", "_c.id", "_c.distance")
+            out = found if out is None else out.unionByName(found)
+    return out
 
 
 def unmatched_report(rows: DataFrame) -> DataFrame:

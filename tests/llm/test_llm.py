@@ -163,7 +163,7 @@ def test_systems(value, ref):
 
 @pytest.mark.parametrize("value, ref", [("Dungaon_Mistress", "game_master"), ("game master(s) *", "game_master"), ("gamemaster (guest)", "guest_game_master"), ("Players:", "players"), ("NETWORK", "unmatched"), ("plaiyers 1", "players")])
 def test_fields(value, ref):
-    mapper = reflist.Mapper("field", [reflist.field_entry(i, None) for i in reflist.FIELD_ALIASES])
+    mapper = reflist.Mapper("field", [reflist.field_entry(i, None, a) for i, a in reflist.FIELD_ALIASES.items()])
     assert reflist.resolve("field", value, mapper.candidates(value)) == ref
     assert reflist.resolve("field", value, mapper.candidates(value, nearest=True)) == ref
 
@@ -341,3 +341,48 @@ def test_query_gives_distinct_rows(spark, data, name):
     df = queries.QUERIES[name](spark, data)
     rows = [tuple(map(str, r)) for r in df.collect()]
     assert len(rows) == len(set(rows))
+
+
+@pytest.mark.parametrize("clause", [150, 190, 400])
+def test_unspaced_text_keeps_its_overlap(encoder, reference, clause):
+    r = random.Random(3)
+    text = "。".join("".join(chr(r.randrange(0x4E00, 0x9FA0)) for _ in range(clause)) for _ in range(3000 // clause))
+    found = pieces.split_text(encoder, encoder.split(text))
+    assert "".join(p[0][p[3] :] for p in found) == text and max(len(reference(p[0])) for p in found) <= 1024
+    assert all(40 <= len(reference(p[0][: p[3]])) <= 72 for p in found[1:])
+
+
+@pytest.mark.parametrize("text", ["word " * 900, "é" * 3000, "日本語" * 900])
+def test_pieces_by_code_points(encoder, reference, text):
+    found = pieces._by_code_points(encoder, text, 200, 20)
+    assert "".join(p[0][p[3] :] for p in found) == text and max(len(reference(p[0])) for p in found) <= 200
+    assert all(len(reference(p[0][: p[3]])) <= 20 and p[3] > 0 for p in found[1:])
+
+
+def test_passes_are_bounded_in_bytes(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"w{i} " * 50) for i in range(40)] + [(99, "x" * 9000)], "item_id long, text string")
+    monkeypatch.setattr(leaks, "BYTES_A_PASS", 2000)
+    assert leaks._passes(items, "item_id", "text") >= 8
+    monkeypatch.setattr(leaks, "BYTES_A_PASS", 1 << 20)
+    assert leaks._passes(items, "item_id", "text") == 1
+
+
+def test_lists_of_several_passes_give_the_same(spark, monkeypatch):
+    values = ["Ember and Oath, fifth edition", "Ember & Oath", "Holllow-Tide", "MONSTER CAFE", "Witching Parsih", "??", " ", None, "Ember & Oath 7e"]
+    games = spark.createDataFrame([("eo2", "Ember & Oath", "2nd Edition", "Lantern Press", 1), ("eo5", "Ember & Oath", "5th Edition", "Lantern Press", 1), ("ht1", "Hollow Tide", "1st Edition", "Salt", 1), ("mc", "Monster Café", "N/A", "Tiny Anvil", 1), ("wp1", "The Witching Parish", "1st Edition", None, 1)], "id string, name string, edition string, publisher string, extra int")
+    df = spark.createDataFrame([(v,) for v in values], "value string")
+    expected = ["eo5", "unmatched", "ht1", "mc", "wp1", "unmatched", "unmatched", "unmatched", "unmatched"]
+    for most in (50_000, 1):
+        monkeypatch.setattr(reflist, "ENTRIES_A_PASS", most)
+        assert len(reflist._passes(reflist.game_list(games))) == 1 if most > 1 else len(reflist._passes(reflist.game_list(games))) >= 5
+        got = {r["value"]: r["ref_id"] for r in reflist.mapped(df, "value", "game", reflist.game_list(games)).collect()}
+        assert [got[v] for v in values] == expected
+
+
+def test_aliases_come_from_a_table(spark):
+    fields = spark.createDataFrame([("cook", "Cook"), ("baker", None)], "id string, label string")
+    aliases = spark.createDataFrame([("cook", "chef de cuisine"), ("cook", None), ("none", "x")], "id string, alias string")
+    df = spark.createDataFrame([("Chef de Cuisinne",), ("bakers",), ("waiter",)], "value string")
+    found = lambda a: {r["value"]: r["ref_id"] for r in reflist.mapped(df, "value", "field", reflist.field_list(fields, a)).collect()}
+    assert found(aliases) == {"Chef de Cuisinne": "cook", "bakers": "baker", "waiter": "unmatched"}
+    assert found(None)["Chef de Cuisinne"] == "unmatched"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from castgraph.functions import text
@@ -15,7 +15,7 @@ COMPANY_WORD = r"(?i)(?:^|[^A-Za-z0-9_])(studios?|sound|productions?|publishing|
 MARKUP = r"<[^>]+>|&[a-z]+;|/{2,}"
 PERSON_SHAPED = r"^[\p{Lu}][\p{Ll}'’-]+(?:\s+[\p{Lu}]\.)?\s+[\p{Lu}][\p{Ll}'’-]+$"
 OUT_OF_SCOPE = (
-    r"(?i)talk ?show|chat show|news show|review show|\breviews\b|\binterviews?\b|discussion show|post-?show discussion|\brecaps?\b|behind the scenes|\bscripted\b|sketch comedy|animated series|\bcartoon\b"
+    r"talk ?show|chat show|news show|review show|\breviews\b|\binterviews?\b|discussion show|post-?show discussion|\brecaps?\b|behind the scenes|\bscripted\b|sketch comedy|animated series|\bcartoon\b"
     r"|documentary|card game|board game|video game|unboxing|highlights|tutorial|how[- ]to|streaming platform|programming block|tips,? (and )?tricks|\bexperts\b|hosted by our|share tips"
 )
 INSTRUCTIONAL = (
@@ -67,13 +67,13 @@ def empty_seasons(shows: DataFrame, seasons: DataFrame, credits: DataFrame) -> D
 
 
 def lone_credits(credits: DataFrame) -> DataFrame:
-    rows = credits.where("season IS NOT NULL").groupBy("show", "season").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+    rows = credits.where("season IS NOT NULL AND show IS NOT NULL").groupBy("show", "season").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
     return _finding(rows, "medium", "one credit in a season", F.concat_ws(":", "show", "season"))
 
 
 def no_game_master(credits: DataFrame, seasons: DataFrame, games: DataFrame) -> DataFrame:
     """Seasons with three or more credits and no game master, unless all their games need none."""
-    counts = credits.where("season IS NOT NULL").groupBy("show", "season").agg(F.count(F.lit(1)).alias("n"), F.max(F.contains("role", F.lit("GM"))).alias("has"))
+    counts = credits.where("season IS NOT NULL AND show IS NOT NULL").groupBy("show", "season").agg(F.count(F.lit(1)).alias("n"), F.max(F.contains("role", F.lit("GM"))).alias("has"))
     played = seasons.select("show", F.col("ordinal").alias("season"), F.explode("game").alias("game")).join(games.select(F.col("id").alias("game"), "gm_less"), "game")
     without = played.groupBy("show", "season").agg(F.bool_and(F.coalesce("gm_less", F.lit(False))).alias("all_without")).where("all_without")
     return _finding(counts.where("n >= 3 AND NOT has").join(without, ["show", "season"], "left_anti"), "low", "no game master", F.concat_ws(":", "show", "season"))
@@ -81,7 +81,7 @@ def no_game_master(credits: DataFrame, seasons: DataFrame, games: DataFrame) ->
 
 def master_and_player(credits: DataFrame) -> DataFrame:
     """People who both run and play a season, no credit of it having a note."""
-    rows = credits.groupBy("person", "show", "season").agg(
+    rows = credits.where("show IS NOT NULL").groupBy("person", "show", "season").agg(
         F.max(F.contains("role", F.lit("GM"))).alias("runs"), F.max(F.contains("role", F.lit("player"))).alias("plays"), F.count("note").alias("notes")
     )
     return _finding(rows.where("runs AND plays AND notes = 0"), "medium", "runs and plays", F.concat_ws(":", "person", "show", F.coalesce(F.col("season").cast("string"), F.lit("show"))))
@@ -89,18 +89,30 @@ def master_and_player(credits: DataFrame) -> DataFrame:
 
 def shared_characters(credits: DataFrame) -> DataFrame:
     """Characters of a season (and episode) that two or more people play, unless every credit has a note."""
-    named = credits.where(F.contains("role", F.lit("player"))).withColumn("part", F.lower(text.trim("character"))).where("part <> ''")
+    named = credits.where(F.contains("role", F.lit("player")) & F.col("show").isNotNull()).withColumn("part", F.lower(text.trim("character"))).where("part <> ''")
     rows = named.groupBy("show", "season", "episode", "part").agg(F.count_distinct("person").alias("n"), F.bool_and(F.col("note").isNotNull()).alias("explained"))
     return _finding(rows.where("n >= 2 AND NOT explained"), "high", "one character, several people", F.concat_ws(":", "show", F.coalesce(F.col("season").cast("string"), F.lit("show")), F.coalesce("episode", F.lit("")), "part"))
 
 
-def contradicted_systems(shows: DataFrame, seasons: DataFrame, hints: list[tuple[str, str]]) -> DataFrame:
-    """Titles that name a system (the first hint that fits counts) none of their seasons' games belongs to."""
-    prefix = F.coalesce(*[F.when(F.col("title").rlike(pattern), F.lit(start)) for pattern, start in hints])
+def _games_by_key(games: DataFrame) -> DataFrame:
+    """(name_key, name, ids, word): the names of games of six letters or more, editions together, with the first word of each."""
+    named = games.where(F.length("name") >= 6).select("id", "name", text.normal_name("name").alias("name_key")).where("name_key <> ''")
+    return named.groupBy("name_key").agg(F.min("name").alias("name"), F.collect_set("id").alias("ids")).withColumn("word", F.split("name_key", " ")[0])
+
+
+def _naming(shows: DataFrame, column: str, games: DataFrame) -> DataFrame:
+    """(show, name, ids): the games each show's text names; texts and names meet on the name's first word."""
+    told = shows.where(F.col(column).isNotNull()).select(F.col("id").alias("show"), text.normal_name(column).alias("said"))
+    words = told.select("show", F.concat(F.lit(" "), "said", F.lit(" ")).alias("said"), F.explode(F.array_distinct(F.split("said", " "))).alias("word"))
+    return words.join(_games_by_key(games), "word").where(F.contains("said", F.concat(F.lit(" "), F.col("name_key"), F.lit(" ")))).select("show", "name", "ids")
+
+
+def contradicted_systems(shows: DataFrame, seasons: DataFrame, games: DataFrame) -> DataFrame:
+    """Titles that name a game (the first by name counts) while some season is recorded with a game of another name."""
+    first = _naming(shows, "title", games).groupBy("show").agg(F.min("name").alias("name"), F.min_by("ids", "name").alias("ids"))
     played = seasons.select("show", F.explode("game").alias("game")).where("game IS NOT NULL").distinct()
-    named = shows.select(F.col("id").alias("show"), prefix.alias("prefix")).where("prefix IS NOT NULL")
-    rows = named.join(played, "show").groupBy("show", "prefix").agg(F.bool_and(F.startswith("game", F.col("prefix"))).alias("fits")).where("NOT fits")
-    return _finding(rows, "high", "title contradicts system", F.concat_ws(":", "show", "prefix"))
+    rows = first.join(played, "show").groupBy("show", "name").agg(F.bool_and(F.array_contains("ids", F.col("game"))).alias("fits")).where("NOT fits")
+    return _finding(rows, "high", "title contradicts system", F.concat_ws(":", "show", "name"))
 
 
 def split_titles(shows: DataFrame) -> DataFrame:
@@ -112,7 +124,7 @@ def split_titles(shows: DataFrame) -> DataFrame:
 
 
 def out_of_scope(shows: DataFrame) -> DataFrame:
-    hit = F.lower(F.regexp_extract("description", "(?i)(" + OUT_OF_SCOPE[4:] + ")", 1))
+    hit = F.lower(F.regexp_extract("description", f"(?i)({OUT_OF_SCOPE})", 1))
     return _finding(shows.select("id", hit.alias("hit")).where("hit <> ''"), "high", "description out of scope", F.concat_ws(":", "id", "hit"))
 
 
@@ -121,23 +133,15 @@ def instructional(shows: DataFrame) -> DataFrame:
 
 
 def other_system_named(shows: DataFrame, seasons: DataFrame, games: DataFrame) -> DataFrame:
-    """Descriptions that name a game (six letters or more) no season is recorded with; the first by name is reported.
-
-    Names and descriptions meet on the name's first word, so only games whose first word occurs are matched in full.
-    """
-    key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")
-    named = games.where(F.length("name") >= 6).select("id", "name", F.trim(key(text.strip_accents("name"))).alias("name_key")).where("name_key <> ''")
-    named = named.groupBy("name_key").agg(F.min("name").alias("name"), F.collect_set("id").alias("ids")).withColumn("word", F.split("name_key", " ")[0])
-    told = shows.where("description IS NOT NULL").select(F.col("id").alias("show"), F.concat(F.lit(" "), F.trim(key(text.strip_accents("description"))), F.lit(" ")).alias("said"))
-    words = told.select("show", "said", F.explode(F.array_distinct(F.split(F.trim("said"), " "))).alias("word"))
-    met = words.join(named, "word").where(F.contains("said", F.concat(F.lit(" "), F.col("name_key"), F.lit(" "))))
+    """Descriptions that name a game (six letters or more) no season is recorded with; the first by name is reported."""
+    met = _naming(shows, "description", games)
     recorded = seasons.select("show", F.explode("game").alias("game")).where("game IS NOT NULL").groupBy("show").agg(F.collect_set("game").alias("games"))
     family = F.exists("games", lambda g: F.exists("ids", lambda i: F.startswith(g, i) | F.startswith(i, g)))
     other = met.join(recorded, "show", "left").where(~F.coalesce(family, F.lit(False)))
     return _finding(other.groupBy("show").agg(F.min("name").alias("name")), "high", "description names another system", F.concat_ws(":", "show", "name"))
 
 
-def defaulted_system(shows: DataFrame, seasons: DataFrame, default: str, sourced: str = "System per source", more_than: int = 5) -> DataFrame:
+def defaulted_system(shows: DataFrame, seasons: DataFrame, default: str | None, sourced: str = "System per source", more_than: int = 5) -> DataFrame:
     """One finding if more than so many shows have only the default game and no sourced line."""
     only = seasons.groupBy(F.col("show").alias("id")).agg(F.bool_and(F.coalesce(F.array_distinct("game") == F.array(F.lit(default)), F.lit(False))).alias("only")).where("only")
     rows = shows.where(~F.coalesce(F.startswith("description", F.lit(sourced)), F.lit(False))).join(only, "id", "left_semi").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than)
@@ -171,6 +175,12 @@ def markdown(findings: DataFrame) -> str:
     return "\n".join(lines) + "\n"
 
 
+def console(findings: DataFrame, most: int = 60) -> DataFrame:
+    """The first findings by severity, kind and subject, with their place."""
+    order = [F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")), F.col("what"), F.col("subject")]
+    return findings.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # few rows
+
+
 def failed(findings: DataFrame) -> bool:
     """Whether any finding is of high severity."""
     return not findings.where("severity = 'high'").isEmpty()

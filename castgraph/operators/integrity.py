@@ -138,3 +138,22 @@ def same_person_pairs(people: DataFrame) -> DataFrame:
     a, b = keyed.toDF("a", "a_first", "last", "start"), keyed.toDF("b", "b_first", "last", "start")
     alike = (F.col("a_first") == F.col("b_first")) | ((F.length("a_first") >= 3) & (F.length("b_first") >= 3) & (F.startswith("a_first", F.col("b_first")) | F.startswith("b_first", F.col("a_first"))))
     return a.join(b, ["last", "start"]).where((F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
+
+
+def problems(people: DataFrame, shows: DataFrame) -> DataFrame:
+    """(collection, rec_no, problem): every rule a record breaks."""
+    of = lambda df, rules, name: violations(df, rules).select(F.lit(name).alias("collection"), "rec_no", F.col("rule").alias("problem"))
+    return of(people, person_rules(), "people").unionByName(of(shows, show_rules(), "shows"))
+
+
+def report(found: DataFrame) -> DataFrame:
+    """(collection, rec_no, n_problems, problems): problems grouped by record; a record breaks each rule once, so the list is bounded."""
+    return found.groupBy("collection", "rec_no").agg(F.count(F.lit(1)).alias("n_problems"), F.array_join(F.array_sort(F.collect_list("problem")), "|").alias("problems"))
+
+
+def checked(people: DataFrame, shows: DataFrame, show_most: int = 20) -> tuple[DataFrame, DataFrame]:
+    """The tables as they are, or an error that names the first problems if there is any."""
+    first = problems(people, shows).orderBy("collection", "rec_no", "problem").limit(show_most).collect()
+    if first:
+        raise ValueError("refused: " + "; ".join(f"{p['collection']}:{p['rec_no']} {p['problem']}" for p in first))
+    return people, shows

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from castgraph.functions import text
+from castgraph.operators import relations
 
 
 def as_json(records: DataFrame, key: str = "id") -> DataFrame:
@@ -86,3 +87,66 @@ def search_text(index: DataFrame, key: str, asked: list[str], n_documents: int,
     df = hits.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     scored = hits.join(df, "word").groupBy(key).agg(F.sum((1 + F.log("tf")) * F.log((n_documents + 1) / F.col("df"))).alias("score"))
     return scored.orderBy(F.desc("score"), key).limit(top)
+
+
+def resolve_person(people: DataFrame, asked: str) -> DataFrame:
+    """(id,): the one person a text means: by id, else by canonical name, else by an alias, in any case; of several the least id."""
+    now = relations.current(people)
+    slug, lower = text.slug(F.lit(asked)), F.lower(F.lit(asked))
+    how = F.when(F.col("id") == slug, 0).when(F.lower("canonical_name") == lower, 1).when(F.coalesce(F.exists("aliases", lambda a: F.lower(a["name"]) == lower), F.lit(False)), 2)
+    return now.select("id", how.alias("how")).where("how IS NOT NULL").orderBy("how", "id").limit(1).select("id")
+
+
+def person_page(people: DataFrame, shows: DataFrame, channels: DataFrame, games: DataFrame, asked: str) -> DataFrame:
+    """The resolved credits of the person a text means, in the order of the page: shows by their latest year, undated last; within a show by season and episode.
+
+    The person is found before any credit is unfolded; only the shows of these credits are resolved.
+    """
+    found = resolve_person(people, asked)
+    one = people.join(F.broadcast(found), "id", "left_semi")  # one row
+    cited = one.select(F.explode("credits").alias("_c")).select(F.col("_c.show").alias("id")).distinct()
+    resolved = relations.resolved_credits(one, shows.join(cited, "id", "left_semi"), channels, games)
+    latest = F.max(F.coalesce("year", "started")).over(Window.partitionBy("show"))
+    place = F.row_number().over(Window.orderBy(F.col("latest").desc_nulls_last(), "show_title", "show", F.coalesce("season", F.lit(0)), F.coalesce("episode", F.lit("")), "pos"))  # one person
+    rows = resolved.withColumn("latest", latest).withColumn("place", place)
+    return rows.select("person", "pos", "show", "show_title", "season", "role", "character", "games", "channels", "n_origins", "place")
+
+
+def described(urls: Column) -> Column:
+    """Distinct links as structs (label, kind, host, url) in order of their kinds; of equals the first given; what is no URL drops out."""
+    order = F.create_map(*[F.lit(x) for kv in text.LINK_ORDER.items() for x in kv])
+    links = F.transform(F.array_distinct(F.array_compact(urls)), lambda u, i: F.struct(F.coalesce(order[text.link_label(u)["kind"]], F.lit(9)).alias("order"), i.alias("at"), text.link_label(u)["label"].alias("label"), text.link_label(u)["kind"].alias("kind"), text.link_label(u)["host"].alias("host"), u.alias("url")))
+    return F.transform(F.array_sort(F.filter(links, lambda x: x["label"].isNotNull())), lambda x: F.struct(x["label"].alias("label"), x["kind"].alias("kind"), x["host"].alias("host"), x["url"].alias("url")))
+
+
+def _embedded(body: Column) -> Column:
+    return F.replace(F.to_json(body), F.lit("<"), F.lit("\\u003c"))
+
+
+def channel_linked_data(channels: DataFrame) -> DataFrame:
+    body = F.struct(F.lit("https://schema.org").alias("@context"), F.lit("Organization").alias("@type"), "name", "description", F.col("links.website").alias("url"))
+    return channels.select("id", _embedded(body).alias("json"))
+
+
+def season_linked_data(shows: DataFrame, seasons: DataFrame) -> DataFrame:
+    rows = seasons.join(shows.select(F.col("id").alias("show"), F.col("title").alias("_series")), "show")
+    series = F.struct(F.lit("CreativeWorkSeries").alias("@type"), F.col("_series").alias("name"))
+    body = F.struct(
+        F.lit("https://schema.org").alias("@context"), F.lit("CreativeWorkSeason").alias("@type"), F.col("title").alias("name"), F.col("ordinal").alias("seasonNumber"), F.col("episode_count").alias("numberOfEpisodes"),
+        F.col("started").alias("startDate"), F.col("ended").alias("endDate"), series.alias("partOfSeries"),
+    )
+    return rows.select("show", "ordinal", _embedded(body).alias("json"))
+
+
+def front_text(people: DataFrame, shows: DataFrame, credits: DataFrame, base: str) -> DataFrame:
+    """(body,): one row of text with the counts of the collections."""
+    counts = credits.agg(F.count(F.lit(1)).alias("credits"), F.count_if(F.col("status") == "corroborated").alias("corroborated"))
+    for name, df in (("people", people), ("shows", shows)):
+        counts = counts.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias(name))))  # one row
+    lines = [F.lit("# Cast"), F.lit(""), *[F.concat(F.lit(f"{label}: "), F.col(name).cast("string")) for label, name in (("People", "people"), ("Shows", "shows"), ("Credits", "credits"), ("Corroborated", "corroborated"))], F.lit(""), F.lit(f"{base}/api/index.json"), F.lit("")]
+    return counts.select(F.concat_ws("\n", *lines).alias("body"))
+
+
+def write_entities(records: DataFrame, path: str, key: str = "id") -> None:
+    """One folder per entity with its JSON."""
+    records.withColumn("_key", F.col(key)).write.mode("overwrite").partitionBy("_key").json(path)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from castgraph.session import cut
+
 
 def tail(rows: DataFrame, key: str, order: list[str], n: int, at_least: int = 1) -> DataFrame:
     """The last n rows of each key by the order, for keys with at least so many rows, with `place` 1 for the last.
@@ -35,47 +40,65 @@ def trending(rows: DataFrame, key: str, value: str, at: str, as_of: str) -> Data
     return rows.groupBy(key).agg(F.round(F.avg(value), 4).alias("mean_value"), F.round(F.avg(F.col(value) / age), 4).alias("mean_per_day"))
 
 
-class SeededDraws:
-    """Reproducible draws from [0, 1) of a 32-bit seed: the state is mixed by products and shifts, and each mix is a draw."""
-
-    # The increment of the seed, the shifts and the bits set before products.
-    INCREMENT, SHIFTS, BITS = 0x6D2B79F5, (15, 7, 14), (1, 61)
+def mulberry32(seed: int) -> Iterator[float]:
+    """Draws from [0, 1) by the public 32-bit generator of this name, in the form that carries the mixed state over to the next draw."""
+    # The constants of the generator.
+    state = (seed + 0x6D2B79F5) & 0xFFFFFFFF
+    while True:
+        state = (state ^ state >> 15) * (state | 1) & 0xFFFFFFFF
+        state ^= (state + (state ^ state >> 7) * (state | 61)) & 0xFFFFFFFF
+        yield (state ^ state >> 14) / 0x100000000
     # End of fixed values.
-    WORD = 0xFFFFFFFF
-
-    def __init__(self, seed: int):
-        self.state = (seed + self.INCREMENT) & self.WORD
 
-    def next(self) -> float:
-        x = self.state
-        x = (x ^ x >> self.SHIFTS[0]) * (x | self.BITS[0]) & self.WORD
-        mixed = (x ^ x >> self.SHIFTS[1]) * (x | self.BITS[1])
-        self.state = x = (x ^ (x + mixed)) & self.WORD
-        return (x ^ x >> self.SHIFTS[2]) / (self.WORD + 1)
 
-
-def shuffled(items: list, seed: int) -> list:
-    """The items in the day's order: the last place is filled first by a draw from all, and so on down."""
-    draws, out = SeededDraws(seed), list(items)
-    for i in range(len(out) - 1, 0, -1):
-        j = int(draws.next() * (i + 1))
+def shuffled(n: int, seed: int) -> array:
+    """The numbers 0 to n - 1 in the day's order: the last place is filled first by a draw from all, and so on down."""
+    draws, out = mulberry32(seed), array("q", range(n))
+    for i in range(n - 1, 0, -1):
+        j = int(next(draws) * (i + 1))
         out[i], out[j] = out[j], out[i]
     return out
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """The distinct keys with their number (from 0) in sorted order, by a range-partitioned sort: no task sees more than its range."""
+    ranged = cut(rows.select(key).distinct().repartitionByRange(key).select(key, F.spark_partition_id().alias("_part")))
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row per range
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    return ranged.withColumn("_place", place).join(F.broadcast(sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))), "_part").select(key, (F.col("_place") + F.col("_before")).cast("long").alias("number"))
+
+
 def daily_picks(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
-    """n keys picked for the day: those of least hash with the seed, drawn in one distributed top-n, then shuffled by the seed."""
-    few = rows.select(key).distinct().orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """(key, place): the first n of all keys, sorted and then shuffled by the day's seed.
+
+    The shuffle is a sequence of dependent draws, so one task makes it, over numbers only; the keys stay distributed.
+    """
+    picks = "array<struct<number: bigint, place: int>>"
+
+    @F.pandas_udf(picks)
+    def first(sizes: pd.Series) -> pd.Series:
+        return sizes.map(lambda size: [{"number": k, "place": p} for p, k in enumerate(shuffled(int(size), seed)[:n], 1)])
+
+    chosen = rows.agg(F.count_distinct(key).alias("size")).select(F.explode(first("size")).alias("_p")).select("_p.*")
+    return numbered(rows, key).join(F.broadcast(chosen), "number").select(key, "place")  # n rows
+
+
+def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds `place` over all rows: for listings and top rows, which are few."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        picked = shuffled(sorted(pdf[key]), seed)
-        return pd.DataFrame({key: picked, "place": range(1, len(picked) + 1)})
 
-    return few.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(order, f"`{key}` {rows.schema[key].dataType.simpleString()}, place int")  # n rows
+def live_trending(rates: DataFrame, shows: DataFrame, seasons: DataFrame, n: int) -> DataFrame:
+    """The n highest rates (show_id, season, mean_value, mean_per_day) of shows that exist, with the season if it does."""
+    of_seasons = seasons.groupBy(F.col("show").alias("show_id"), F.col("ordinal").alias("season")).agg(F.first("title").alias("season_title"), F.lit(True).alias("_has"))
+    met = rates.join(shows.select(F.col("id").alias("show_id"), "title"), "show_id").join(of_seasons, ["show_id", "season"], "left")
+    top = met.select(F.col("show_id").alias("show"), "title", F.when(F.col("_has"), F.col("season")).alias("season"), "season_title", "mean_value", "mean_per_day").orderBy(F.desc("mean_per_day"), "show").limit(n)
+    return placed(top, [F.desc("mean_per_day"), F.asc("show")])
 
 
 def random_entity(rows: DataFrame, seed: int) -> DataFrame:
-    """One row picked at random, each as likely as another."""
+    """One row picked at random, each as likely as another: of a union, a collection is as likely as it is large."""
     return rows.orderBy(F.rand(seed)).limit(1)
 
 

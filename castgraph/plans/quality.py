@@ -51,15 +51,9 @@ def dangling_shows(t: Tables) -> DataFrame:
 
 @query(
     r"""SELECT name_key, string_agg(person, '|' ORDER BY person) AS people, CAST(count(*) AS INTEGER) AS n_people FROM (SELECT DISTINCT trim(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', ' ', 'g')) AS name_key, person
-    FROM al WHERE NOT regexp_matches(name, '[^\x00-\x{24F}]')) WHERE name_key <> '' GROUP BY name_key HAVING count(*) >= 2"""
+    FROM al WHERE name IS NOT NULL) WHERE name_key <> '' GROUP BY name_key HAVING count(*) >= 2"""
 )
 def shared_names(t: Tables) -> DataFrame:
-    """Only names of Latin letters, like its SQL; `shared_names_all` reads every name."""
-    return integrity.shared_names(t.aliases.where(~F.col("name").rlike(r"[^\x00-\x{24F}]")))
-
-
-@query()
-def shared_names_all(t: Tables) -> DataFrame:
     return integrity.shared_names(t.aliases)
 
 
@@ -140,30 +134,27 @@ _KEY = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(c
 
 
 @query(
-    rf""", k AS (SELECT DISTINCT id, w[1] AS first, w[-1] AS last FROM (SELECT id, string_split({_KEY}, ' ') AS w FROM cp WHERE NOT regexp_matches(canonical_name, '[^\x00-\x{{24F}}]')) WHERE len(w) >= 2)
+    rf""", k AS (SELECT DISTINCT id, w[1] AS first, w[-1] AS last FROM (SELECT id, string_split({_KEY}, ' ') AS w FROM cp WHERE canonical_name IS NOT NULL) WHERE len(w) >= 2)
     SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b ON a.last = b.last AND a.id < b.id
     WHERE a.first = b.first OR (length(a.first) >= 3 AND length(b.first) >= 3 AND (starts_with(a.first, b.first) OR starts_with(b.first, a.first)))"""
 )
 def same_person_pairs(t: Tables) -> DataFrame:
-    """Only names of Latin letters, like its SQL; `same_person_pairs_all` reads every name."""
-    return integrity.same_person_pairs(t.people.where(~F.col("canonical_name").rlike(r"[^\x00-\x{24F}]")))
-
-
-@query()
-def same_person_pairs_all(t: Tables) -> DataFrame:
     return integrity.same_person_pairs(t.people)
 
 
-#: Patterns a title may name a system by, and the beginning of that system's ids; a parameter of the rule.
-HINTS = [(r"(?i)\bdrakkenhold\b", "drakkenhold"), (r"(?i)\bhollow\b", "hollow-tide"), (r"(?i)\bember\b", "ember-oath"), (r"(?i)\bstarfall|ledger\b", "starfall"), (r"(?i)\bparish\b", "the-witching"), (r"(?i)\bmap\b", "quiet-map")]
+def _default_game(t: Tables) -> str | None:
+    """The game most seasons are recorded with: what an importer puts where it knows nothing."""
+    most = t.seasons.select(F.explode("game").alias("game")).where("game IS NOT NULL").groupBy("game").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "game").limit(1).collect()
+    return most[0]["game"] if most else None
 
 
 def findings(t: Tables) -> DataFrame:
+    people, shows, credits, seasons = t.people, t.shows, t.credits, t.seasons
     parts = [
-        audit.characters_as_people(t.people), audit.character_is_person(t.credits, t.people), audit.companies(t.people), audit.markup(t.people), audit.person_shaped_titles(t.shows, t.credits),
-        audit.empty_seasons(t.shows, t.seasons, t.credits), audit.lone_credits(t.credits), audit.no_game_master(t.credits, t.seasons, t.games), audit.master_and_player(t.credits),
-        audit.shared_characters(t.credits), audit.contradicted_systems(t.shows, t.seasons, HINTS), audit.split_titles(t.shows), audit.out_of_scope(t.shows), audit.instructional(t.shows),
-        audit.other_system_named(t.shows, t.seasons, t.games), audit.defaulted_system(t.shows, t.seasons, "microcosmos"), audit.channels_without_shows(t.channels, t.shows), audit.twice_recorded(t.people),
+        audit.characters_as_people(people), audit.character_is_person(credits, people), audit.companies(people), audit.markup(people), audit.person_shaped_titles(shows, credits),
+        audit.empty_seasons(shows, seasons, credits), audit.lone_credits(credits), audit.no_game_master(credits, seasons, t.games), audit.master_and_player(credits),
+        audit.shared_characters(credits), audit.contradicted_systems(shows, seasons, t.games), audit.split_titles(shows), audit.out_of_scope(shows), audit.instructional(shows),
+        audit.other_system_named(shows, seasons, t.games), audit.defaulted_system(shows, seasons, _default_game(t), more_than=0), audit.channels_without_shows(t.channels, shows), audit.twice_recorded(people),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -171,19 +162,9 @@ def findings(t: Tables) -> DataFrame:
     return out
 
 
-@query()
-def audit_findings(t: Tables) -> DataFrame:
-    return findings(t)
-
-
-@query()
-def audit_summary(t: Tables) -> DataFrame:
-    return audit.summary(findings(t))
-
-
 @query("SELECT 'medium' AS severity, 'one credit in a season' AS what, show || ':' || CAST(season AS VARCHAR) AS subject FROM cr WHERE season IS NOT NULL AND show IS NOT NULL GROUP BY show, season HAVING count(*) = 1")
 def lone_credits(t: Tables) -> DataFrame:
-    return audit.lone_credits(t.credits.where("show IS NOT NULL"))
+    return audit.lone_credits(t.credits)
 
 
 @query(
@@ -202,7 +183,7 @@ def empty_seasons(t: Tables) -> DataFrame:
     LEFT JOIN g ON g.show = c.show AND g.ordinal = c.season AND g.less WHERE g.show IS NULL"""
 )
 def no_game_master(t: Tables) -> DataFrame:
-    return audit.no_game_master(t.credits.where("show IS NOT NULL"), t.seasons, t.games)
+    return audit.no_game_master(t.credits, t.seasons, t.games)
 
 
 @query(
@@ -210,7 +191,7 @@ def no_game_master(t: Tables) -> DataFrame:
     GROUP BY person, show, season HAVING bool_or(contains(role, 'GM')) AND bool_or(contains(role, 'player')) AND count(note) = 0"""
 )
 def master_and_player(t: Tables) -> DataFrame:
-    return audit.master_and_player(t.credits.where("show IS NOT NULL"))
+    return audit.master_and_player(t.credits)
 
 
 @query(
@@ -218,7 +199,7 @@ def master_and_player(t: Tables) -> DataFrame:
     FROM (SELECT *, lower(trim(character)) AS part FROM cr WHERE contains(role, 'player') AND show IS NOT NULL) WHERE part <> '' GROUP BY show, season, episode, part HAVING count(DISTINCT person) >= 2 AND NOT bool_and(note IS NOT NULL)"""
 )
 def shared_characters(t: Tables) -> DataFrame:
-    return audit.shared_characters(t.credits.where("show IS NOT NULL"))
+    return audit.shared_characters(t.credits)
 
 
 @query(
@@ -237,3 +218,98 @@ def character_is_person(t: Tables) -> DataFrame:
 @query("SELECT 'high' AS severity, 'instructional title' AS what, id AS subject FROM cs WHERE regexp_matches(title, '" + audit.INSTRUCTIONAL + "')")
 def instructional_titles(t: Tables) -> DataFrame:
     return audit.instructional(t.shows)
+
+
+_q = lambda s: "'" + s.replace("'", "''") + "'"
+_words = lambda c: f"trim(regexp_replace(lower(strip_accents({c})), '[^a-z0-9]+', ' ', 'g'))"
+_GAMES = f""", gk AS (SELECT key, min(name) AS name, list(DISTINCT id) AS ids FROM (SELECT id, name, {_words('name')} AS key FROM games WHERE length(name) >= 6) WHERE key <> '' GROUP BY key),
+    recorded AS (SELECT show, list(DISTINCT g) AS games FROM (SELECT show, unnest(game) AS g FROM se) WHERE g IS NOT NULL GROUP BY show)"""
+
+
+@query(f"SELECT 'high' AS severity, 'character as a person' AS what, id AS subject FROM cp WHERE len(credits) = 1 AND wikidata_qid IS NULL AND image IS NULL AND CASE WHEN regexp_matches(canonical_name, {_q(audit.PERSON_NAME)}) THEN len(regexp_split_to_array(canonical_name, '\\s+')) > 4 ELSE regexp_matches(canonical_name, {_q(audit.CHARACTER_NAME)}) END")
+def characters_as_people(t: Tables) -> DataFrame:
+    return audit.characters_as_people(t.people)
+
+
+@query(f"SELECT 'high' AS severity, 'company name' AS what, id AS subject FROM cp WHERE regexp_matches(canonical_name, {_q(audit.COMPANY_WORD)})")
+def company_names(t: Tables) -> DataFrame:
+    return audit.companies(t.people)
+
+
+@query(f"SELECT 'high' AS severity, 'markup in a name' AS what, id AS subject FROM cp WHERE regexp_matches(canonical_name, {_q(audit.MARKUP)})")
+def names_with_markup(t: Tables) -> DataFrame:
+    return audit.markup(t.people)
+
+
+@query(f"SELECT 'medium' AS severity, 'title like a person' AS what, id AS subject FROM cs WHERE regexp_matches(title, {_q(audit.PERSON_SHAPED)}) AND links.podcast IS NULL AND links.youtube IS NULL AND id NOT IN (SELECT show FROM cr WHERE show IS NOT NULL)")
+def person_shaped_titles(t: Tables) -> DataFrame:
+    return audit.person_shaped_titles(t.shows, t.credits)
+
+
+@query(_GAMES + f""" SELECT 'high' AS severity, 'title contradicts system' AS what, n.show || ':' || n.name AS subject FROM (SELECT cs.id AS show, min(gk.name) AS name, arg_min(gk.ids, gk.name) AS ids FROM cs JOIN gk ON contains(' ' || {_words('cs.title')} || ' ', ' ' || gk.key || ' ') GROUP BY cs.id) n
+    JOIN recorded r ON r.show = n.show WHERE len(list_filter(r.games, lambda g: NOT list_contains(n.ids, g))) > 0""")
+def contradicted_systems(t: Tables) -> DataFrame:
+    return audit.contradicted_systems(t.shows, t.seasons, t.games)
+
+
+@query(f"SELECT 'high' AS severity, 'description out of scope' AS what, id || ':' || hit AS subject FROM (SELECT id, lower(regexp_extract(description, {_q('(?i)(' + audit.OUT_OF_SCOPE + ')')}, 1)) AS hit FROM cs) WHERE hit <> ''")
+def out_of_scope(t: Tables) -> DataFrame:
+    return audit.out_of_scope(t.shows)
+
+
+@query(_GAMES + f""" SELECT 'high' AS severity, 'description names another system' AS what, d.show || ':' || min(gk.name) AS subject FROM (SELECT id AS show, ' ' || {_words('description')} || ' ' AS said FROM cs WHERE description IS NOT NULL) d JOIN gk ON contains(said, ' ' || gk.key || ' ')
+    LEFT JOIN recorded r ON r.show = d.show WHERE NOT coalesce(len(list_filter(r.games, lambda g: len(list_filter(gk.ids, lambda i: starts_with(g, i) OR starts_with(i, g))) > 0)) > 0, false) GROUP BY d.show""")
+def other_system_named(t: Tables) -> DataFrame:
+    return audit.other_system_named(t.shows, t.seasons, t.games)
+
+
+@query("""SELECT 'medium' AS severity, 'defaulted system' AS what, CAST(count(*) AS VARCHAR) AS subject FROM cs WHERE NOT coalesce(starts_with(description, 'System per source'), false) AND id IN (SELECT show FROM se GROUP BY show
+    HAVING bool_and(coalesce(list_distinct(game) = [(SELECT g FROM (SELECT unnest(game) AS g FROM se) WHERE g IS NOT NULL GROUP BY g ORDER BY count(*) DESC, g LIMIT 1)], false))) HAVING count(*) > 0""")
+def defaulted_system(t: Tables) -> DataFrame:
+    return audit.defaulted_system(t.shows, t.seasons, _default_game(t), more_than=0)
+
+
+def _part(name: str) -> str:
+    """The SQL of a query without the relations all queries share."""
+    return ORACLE[name][len(sql_of("")) :]
+
+
+_PARTS = ["characters_as_people", "character_is_person", "company_names", "names_with_markup", "person_shaped_titles", "empty_seasons", "lone_credits", "no_game_master", "master_and_player", "shared_characters",
+          "contradicted_systems", "split_titles", "out_of_scope", "instructional_titles", "other_system_named", "defaulted_system"]
+_OTHERS = {
+    "channels_without_shows": "SELECT 'medium' AS severity, 'channel without shows' AS what, id AS subject FROM channels WHERE id NOT IN (SELECT unnest(channels) FROM cs WHERE channels IS NOT NULL)",
+}
+
+
+def _union() -> str:
+    """All findings: each part's own relations are nested in it, so names don't clash."""
+    nested = lambda sql: f"SELECT severity, what, subject FROM ({('WITH ' + sql.lstrip()[1:]) if sql.lstrip().startswith(',') else sql})"
+    pairs = f"SELECT 'high' AS severity, 'probably the same person' AS what, a || ':' || b AS subject FROM ({'WITH ' + _part('same_person_pairs').lstrip()[1:]})"
+    return " UNION ALL ".join([*(nested(_part(p)) for p in _PARTS), *_OTHERS.values(), pairs])
+
+
+@query(_union())
+def audit_findings(t: Tables) -> DataFrame:
+    return findings(t)
+
+
+@query(f"SELECT severity, what, count(*) AS n FROM ({_union()}) GROUP BY severity, what")
+def audit_summary(t: Tables) -> DataFrame:
+    return audit.summary(findings(t))
+
+
+_COLLECTIONS_SQL = " UNION ALL ".join([
+    f"SELECT 'people' AS collection, rec_no, rule AS problem FROM ({_rules_sql('people', PERSON_SQL)})", f"SELECT 'shows', rec_no, rule FROM ({_rules_sql('shows', SHOW_SQL)})",
+])
+
+
+@query(f"SELECT collection, rec_no, CAST(count(*) AS BIGINT) AS n_problems, string_agg(problem, '|' ORDER BY problem) AS problems FROM ({_COLLECTIONS_SQL}) GROUP BY collection, rec_no")
+def problem_report(t: Tables) -> DataFrame:
+    """The problems of each record together, as the report lists them by file."""
+    return integrity.report(integrity.problems(t.get("people"), t.get("shows")))
+
+
+@query(f"SELECT collection, count(DISTINCT rec_no) AS n_records, count(*) AS n_problems FROM ({_COLLECTIONS_SQL}) GROUP BY collection")
+def gate(t: Tables) -> DataFrame:
+    """What the gate would refuse, by collection; `integrity.checked` raises it."""
+    return integrity.problems(t.get("people"), t.get("shows")).groupBy("collection").agg(F.count_distinct("rec_no").alias("n_records"), F.count(F.lit(1)).alias("n_problems"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from castgraph.plans import problems, processing, quality, resolving, views
+from castgraph.plans import pages, problems, processing, quality, resolving, views
 
 FLAGSHIP = "filmography"
-_MODULES = [problems, views, quality, resolving, processing]
+_MODULES = [problems, views, pages, quality, resolving, processing]
 
 
 def queries() -> dict[str, Callable]:

@@ -53,7 +53,7 @@ ORACLE: dict[str, str] = {}
 
 def sql_of(sql: str) -> str:
     """The SQL after the shared relations; `show` is quoted, for it is a word of the language."""
-    return re.sub(r"(?<![\w.'\"])show(?![\w'\"])", '"show"', CTE + sql)
+    return re.sub(r"('(?:[^']|'')*'|\"[^\"]*\")|(?<![\w.])show(?!\w)", lambda m: m.group(1) or '"show"', CTE + sql)
 
 
 def query(sql: str | None = None):
@@ -244,19 +244,9 @@ def described_links(t: Tables) -> DataFrame:
     return t.people.select("rec_no", F.size(http).alias("n_links"), text.link_label(F.col("links.website"))["host"].alias("website_host"))
 
 
-def _text_forms(people: DataFrame) -> DataFrame:
-    return people.where(F.col("canonical_name").isNotNull()).select("rec_no", text.normal_name("canonical_name").alias("normal_name"), text.slug("canonical_name").alias("slug"))
-
-
-@query(r"SELECT rec_no, trim(regexp_replace(lower(strip_accents(canonical_name)), '[^a-z0-9]+', ' ', 'g')) AS normal_name, regexp_replace(regexp_replace(lower(strip_accents(canonical_name)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM cp WHERE canonical_name IS NOT NULL AND NOT regexp_matches(canonical_name, '[^\x00-\x{24F}]')")
+@query(r"SELECT rec_no, trim(regexp_replace(lower(strip_accents(canonical_name)), '[^a-z0-9]+', ' ', 'g')) AS normal_name, regexp_replace(regexp_replace(lower(strip_accents(canonical_name)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM cp WHERE canonical_name IS NOT NULL")
 def text_forms(t: Tables) -> DataFrame:
-    """Only names of Latin letters, like its SQL; `text_forms_all` reads every name."""
-    return _text_forms(t.people.where(~F.col("canonical_name").rlike(r"[^\x00-\x{24F}]")))
-
-
-@query()
-def text_forms_all(t: Tables) -> DataFrame:
-    return _text_forms(t.people)
+    return t.people.where(F.col("canonical_name").isNotNull()).select("rec_no", text.normal_name("canonical_name").alias("normal_name"), text.slug("canonical_name").alias("slug"))
 
 
 @query(r"SELECT id, trim(regexp_replace(regexp_replace(replace(lower(strip_accents(title)), '&', ' and '), '[^a-z0-9]+', ' ', 'g'), '^(the|a|an) ', '')) AS title_key FROM cs WHERE title IS NOT NULL")

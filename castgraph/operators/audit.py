@@ -36,11 +36,16 @@ def characters_as_people(people: DataFrame) -> DataFrame:
     return _finding(alone.where(odd), "high", "character as a person", F.col("id"))
 
 
+def named_characters(credits: DataFrame, people: DataFrame) -> DataFrame:
+    """Credits (with `person` and `character`) of which a part of the character, in `part`, is another person's full name."""
+    named = people.where(F.contains(F.trim("canonical_name"), F.lit(" "))).select(F.lower("canonical_name").alias("part"), F.col("id").alias("_owner"))
+    parts = credits.withColumn("part", F.explode(F.split(F.lower("character"), " / ")))
+    return parts.join(named, "part").where(F.col("person") != F.col("_owner")).drop("_owner")
+
+
 def character_is_person(credits: DataFrame, people: DataFrame) -> DataFrame:
     """Characters of which a part equals another person's full name."""
-    named = people.where(F.contains(F.trim("canonical_name"), F.lit(" "))).select(F.lower("canonical_name").alias("part"), F.col("id").alias("_owner"))
-    parts = credits.select("person", "rec_no", "pos", F.explode(F.split(F.lower("character"), " / ")).alias("part"))
-    met = parts.join(named, "part").where(F.col("person") != F.col("_owner")).select("person", "part").distinct()
+    met = named_characters(credits.select("person", "character"), people).select("person", "part").distinct()
     return _finding(met, "high", "character is a person", F.concat_ws(":", "person", "part"))
 
 
@@ -115,12 +120,15 @@ def contradicted_systems(shows: DataFrame, seasons: DataFrame, games: DataFrame)
     return _finding(rows, "high", "title contradicts system", F.concat_ws(":", "show", "name"))
 
 
-def split_titles(shows: DataFrame) -> DataFrame:
-    """Titles that are the same but for a season's number, of shows that share a channel."""
+def same_titles(shows: DataFrame) -> DataFrame:
+    """(key, channel, n): titles that are the same but for a season's number, of shows that share a channel."""
     bare = F.regexp_replace(F.lower("title"), r"\bseason\s*\d+\b|\bs\d+\b", "")
     keyed = shows.select("id", F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " ")).alias("key"), F.explode(F.array_distinct("channels")).alias("channel")).where("key <> '' AND channel IS NOT NULL")
-    rows = keyed.groupBy("key", "channel").agg(F.count_distinct("id").alias("n")).where("n >= 2").select("key").distinct()
-    return _finding(rows, "medium", "split by season", F.col("key"))
+    return keyed.groupBy("key", "channel").agg(F.count_distinct("id").alias("n")).where("n >= 2")
+
+
+def split_titles(shows: DataFrame) -> DataFrame:
+    return _finding(same_titles(shows).select("key").distinct(), "medium", "split by season", F.col("key"))
 
 
 def out_of_scope(shows: DataFrame) -> DataFrame:

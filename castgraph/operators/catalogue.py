@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from castgraph.functions import text
+from castgraph.operators import merge
 
 # How the catalogue's categories map to roles, and what marks a game master among characters.
 CATEGORY_ROLES = {"actor": "player", "actress": "player", "self": "player", "director": "director", "producer": "producer", "writer": "writer", "composer": "composer", "editor": "editor"}
@@ -53,6 +54,54 @@ def title_credits(matches: DataFrame, principals: DataFrame, names: DataFrame) -
     return best.join(matches.select("tconst", "show"), "tconst").join(needed, "nconst").select("show", "tconst", "nconst", "role", F.col("b.character").alias("character"), "name")
 
 
+def with_episodes(principals: DataFrame, episodes: DataFrame, matches: DataFrame) -> DataFrame:
+    """Principals of matched titles and of their episodes, the latter under their series: `episodes` has (tconst, parentTconst).
+
+    Only episodes of matched series are kept before they meet the principals.
+    """
+    series = matches.select("tconst").distinct()
+    kept = episodes.join(series.withColumnRenamed("tconst", "parentTconst"), "parentTconst", "left_semi").groupBy("tconst").agg(F.min("parentTconst").alias("_parent"))
+    of_episodes = principals.join(kept, "tconst").withColumn("tconst", F.col("_parent")).drop("_parent")
+    return principals.join(series, "tconst", "left_semi").unionByName(of_episodes)
+
+
+def incoming(credits: DataFrame, reviewed: DataFrame, seasons: DataFrame, by_name: DataFrame) -> DataFrame:
+    """Credits of the best title of each show, if it is accepted, as (id, is_new, name, show, season, role, character, confirmed, n_seasons, tconst).
+
+    A name means the person who has it, in any case, else a new one of its slug. Season 1 is claimed only where a show has just one season;
+    a character that is the person's own name is none.
+    """
+    place = F.row_number().over(Window.partitionBy("show").orderBy(F.desc("overlap"), F.desc("familiar"), "tconst"))
+    taken = reviewed.withColumn("_p", place).where("_p = 1 AND verdict = 'accepted'").select("show", "tconst", (F.col("overlap") > 0).alias("confirmed"))
+    counts = seasons.groupBy("show").agg(F.count(F.lit(1)).alias("n_seasons"))
+    rows = credits.where("name IS NOT NULL").join(taken, ["show", "tconst"]).join(counts, "show", "left").withColumn("_key", F.lower("name"))
+    met = rows.join(by_name.select(F.col("name").alias("_key"), F.col("id").alias("_id")), "_key", "left")
+    made = met.select(
+        F.coalesce("_id", text.slug("name")).alias("id"), F.col("_id").isNull().alias("is_new"), "name", "show", F.when(F.col("n_seasons") == 1, 1).alias("season"), "role",
+        F.when(F.lower("character") != F.lower("name"), F.col("character")).alias("character"), "confirmed", F.coalesce("n_seasons", F.lit(0)).alias("n_seasons"), "tconst",
+    )
+    return made.where("id <> ''")
+
+
+def created(rows: DataFrame) -> DataFrame:
+    """(id, canonical_name) of the people an import creates."""
+    return rows.where("is_new").groupBy("id").agg(F.min("name").alias("canonical_name"))
+
+
+def import_credits(people: DataFrame, rows: DataFrame) -> DataFrame:
+    """The people touched by the import, new ones included, with its credits folded in (id, credits): evidence is added, nothing is overwritten."""
+    notes = F.concat_ws(" ", F.when(~F.col("confirmed"), "Matched by title alone."), F.when(F.col("n_seasons") > 1, "Which seasons it covers is not established."))
+    source = F.struct(F.concat(F.lit("https://catalogue.test/title/"), "tconst").alias("url"), F.lit("Full cast, by the catalogue's data sets.").alias("note"), F.lit("reference").alias("tier"), F.lit(None).cast("string").alias("attested_by"), F.lit(None).cast("string").alias("locator"))
+    none = F.lit(None).cast("string")
+    alias = people.select("id", F.when(F.size("aliases") == 1, F.get("aliases", F.lit(0))["id"]).alias("_alias"))
+    told = rows.join(alias, "id", "left").select(
+        "id", F.struct("show", "role", "tconst", "character").alias("seq"),
+        F.struct("show", "season", none.alias("episode"), "role", "character", F.col("_alias").alias("alias"), none.alias("year"), F.nullif(notes, F.lit("")).alias("note"), F.array(source).alias("sources")).alias("credit"),
+    )
+    touched = rows.select("id").distinct().join(people.select("id", "credits"), "id", "left")
+    return merge.upsert_batch(touched, told)
+
+
 def scores(matches: DataFrame, credits: DataFrame, cast: DataFrame, known_names: DataFrame) -> DataFrame:
     """(show, tconst, n_people, overlap, familiar, place): how many of a title's people are in our cast, how many we know at all, best title first.
 

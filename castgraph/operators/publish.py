@@ -81,11 +81,11 @@ def inverted_index(documents: DataFrame, key: str, column: str) -> DataFrame:
     return words.groupBy("word", key).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def search_text(index: DataFrame, key: str, asked: list[str], n_documents: int, top: int = 8) -> DataFrame:
-    """The best documents for the words by TF-IDF; equals in order of their key."""
+def search_text(index: DataFrame, key: str, asked: list[str], total: DataFrame, top: int = 8) -> DataFrame:
+    """The best documents for the words by TF-IDF; equals in order of their key. `total` is one row with n_documents."""
     hits = index.where(F.col("word").isin(asked))
     df = hits.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(df, "word").groupBy(key).agg(F.sum((1 + F.log("tf")) * F.log((n_documents + 1) / F.col("df"))).alias("score"))
+    scored = hits.join(df, "word").crossJoin(F.broadcast(total)).groupBy(key).agg(F.sum((1 + F.log("tf")) * F.log((F.col("n_documents") + 1) / F.col("df"))).alias("score"))
     return scored.orderBy(F.desc("score"), key).limit(top)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from castgraph import model
 from castgraph.operators import extraction, merge, publish
 from castgraph.plans.views import Tables, sql_of
 from castgraph.streaming import importing
@@ -47,19 +48,36 @@ def notes_credits(t: Tables) -> DataFrame:
     return extraction.extract(t.get("documents"), "doc_id", "text", extraction.credits_of_notes)
 
 
-@query()
+_OTHERS = "list_filter(list_transform(list_filter(coalesce(aliases, []), lambda a: a IS NOT NULL), lambda a: a.name), lambda n: n <> canonical_name)"
+_SAME = r"list_filter([links.website, links.wikipedia, CASE WHEN regexp_full_match(wikidata_qid, 'Q[0-9]+') THEN 'https://www.wikidata.org/wiki/' || wikidata_qid END], lambda u: u IS NOT NULL)"
+
+
+@query(
+    f"""SELECT id, replace(CAST(json_merge_patch('{{}}', json_object('@context', 'https://schema.org', '@type', 'Person', 'name', canonical_name, 'alternateName', CASE WHEN len(o) > 0 THEN list_filter(o, lambda x, i: list_position(o, x) = i) END,
+    'image', image.url, 'sameAs', CASE WHEN len(s) > 0 THEN s END)) AS VARCHAR), '<', '\\u003c') AS json FROM (SELECT *, {_OTHERS} AS o, {_SAME} AS s FROM cp)"""
+)
 def person_linked_data(t: Tables) -> DataFrame:
     return publish.person_linked_data(t.people)
 
 
-@query()
+@query(
+    """SELECT id, replace(CAST(json_merge_patch('{}', json_object('@context', 'https://schema.org', '@type', CASE WHEN format = 'podcast' THEN 'PodcastSeries' ELSE 'CreativeWorkSeries' END, 'name', title, 'description', description, 'image', image.url,
+    'numberOfSeasons', CASE WHEN len(seasons) > 0 THEN len(seasons) END)) AS VARCHAR), '<', '\\u003c') AS json FROM cs"""
+)
 def show_linked_data(t: Tables) -> DataFrame:
     return publish.show_linked_data(t.shows)
 
 
-@query()
+_BARE = "lambda x: CASE WHEN x IS NULL THEN NULL ELSE json_merge_patch('{}', to_json(x)) END"
+
+
+@query(
+    f"""SELECT id, CAST(json_merge_patch('{{}}', json_object('id', id, 'canonical_name', canonical_name, 'sort_name', sort_name, 'pronouns', pronouns, 'bio', bio, 'wikidata_qid', wikidata_qid, 'links', links, 'image', image,
+    'aliases', list_transform(aliases, {_BARE}), 'credits', list_transform(credits, lambda c: CASE WHEN c IS NULL THEN NULL ELSE json_merge_patch('{{}}', json_object('show', c.show, 'season', c.season, 'episode', c.episode, 'role', c.role, 'character', c.character,
+    'alias', c.alias, 'year', c.year, 'note', c.note, 'sources', list_transform(c.sources, {_BARE}))) END))) AS VARCHAR) AS json FROM cp"""
+)
 def people_json(t: Tables) -> DataFrame:
-    return publish.as_json(t.people)
+    return publish.as_json(t.people.select(*model.PERSON.names))
 
 
 @query("SELECT 'https://cast.test/shows/' || id || '/' AS url FROM cs WHERE removed_at IS NULL")
@@ -77,11 +95,15 @@ def search_hits(t: Tables) -> DataFrame:
     return publish.search_names(t.people, t.aliases, "Ron")
 
 
-@query()
+@query(
+    """, w AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')), ' ')) AS word FROM documents) WHERE word IN ('lantern', 'storm', 'funeral') GROUP BY doc_id, word),
+    d AS (SELECT word, count(*) AS df FROM w GROUP BY word)
+    SELECT doc_id, round(sum((1 + ln(tf)) * ln(((SELECT count(*) FROM documents) + 1) / df)), 6) AS score FROM w JOIN d USING (word) GROUP BY doc_id ORDER BY sum((1 + ln(tf)) * ln(((SELECT count(*) FROM documents) + 1) / df)) DESC, doc_id LIMIT 8"""
+)
 def text_search(t: Tables) -> DataFrame:
     documents = t.get("documents")
     index = publish.inverted_index(documents, "doc_id", "text")
-    return publish.search_text(index, "doc_id", ["lantern", "storm", "funeral"], documents.count()).withColumn("score", F.round("score", 6))
+    return publish.search_text(index, "doc_id", ["lantern", "storm", "funeral"], documents.agg(F.count(F.lit(1)).alias("n_documents"))).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")

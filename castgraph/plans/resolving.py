@@ -53,7 +53,27 @@ def _credits(t: Tables) -> tuple[DataFrame, DataFrame]:
     return matches, catalogue.title_credits(matches, t.get("title_principals"), t.get("name_basics"))
 
 
-@query()
+_quoted = lambda s: "'" + s.replace("'", "''") + "'"
+_BLANK = r"[\s\p{Z}\x{FEFF}]"
+_CREDITED = (
+    _MATCHES
+    + rf""", pc AS (SELECT DISTINCT tconst, nconst, try_cast(ordering AS INTEGER) AS ordering, category, list_filter(list_transform(CASE WHEN characters <> '\N' AND json_valid(characters) AND json_type(characters) = 'ARRAY' THEN from_json(characters, '["VARCHAR"]') ELSE [] END,
+        lambda x: regexp_replace(x, '^{_BLANK}+|{_BLANK}+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, {_quoted(text.ROLE_LABEL)})) AS names FROM title_principals WHERE tconst IN (SELECT tconst FROM tm)),
+    pr AS (SELECT *, CASE category {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in catalogue.CATEGORY_ROLES.items())} END AS kind, len(list_filter(names, lambda x: regexp_matches(x, {_quoted(catalogue.GM_CHARACTER)}))) > 0 AS runs FROM pc),
+    mk AS (SELECT tconst, nconst, ordering, CASE WHEN kind = 'player' AND runs THEN 'GM/DM' ELSE kind END AS role, CASE WHEN kind = 'player' AND NOT runs AND len(names) > 0 THEN array_to_string(names, ' / ') END AS character
+        FROM pr WHERE kind IS NOT NULL AND NOT (kind = 'player' AND NOT runs AND len(names) = 0 AND category = 'self')),
+    cc AS (SELECT tm.show, b.tconst, b.nconst, b.role, b.character, {_known('n.primaryName')} AS name FROM (SELECT *, row_number() OVER (PARTITION BY tconst, nconst, role ORDER BY character IS NULL, ordering NULLS FIRST, character) AS rn FROM mk) b
+        JOIN tm ON tm.tconst = b.tconst JOIN name_basics n ON n.nconst = b.nconst WHERE rn = 1),
+    nk AS (SELECT DISTINCT person, key FROM (SELECT person, {_normal('name')} AS key FROM al UNION ALL SELECT id, {_normal('canonical_name')} FROM cp) WHERE key <> ''),
+    sc AS (SELECT c.show, c.tconst, count(DISTINCT c.nconst) AS n_people, count(k.key) AS overlap, count(f.key) AS familiar FROM (SELECT DISTINCT show, tconst, nconst, {_normal('name')} AS key FROM cc) c
+        LEFT JOIN (SELECT DISTINCT cr.show, nk.key FROM cr JOIN nk ON nk.person = cr.person) k ON k.show = c.show AND k.key = c.key LEFT JOIN (SELECT DISTINCT key FROM nk) f ON f.key = c.key GROUP BY c.show, c.tconst),
+    vd AS (SELECT sc.*, y.year, CASE WHEN overlap > 0 THEN 'accepted' WHEN y.year < 2005 THEN 'too early' WHEN n_people > 40 THEN 'too many people' WHEN familiar < 2 THEN 'too few known' ELSE 'accepted' END AS verdict
+        FROM sc LEFT JOIN (SELECT tconst, max(year) AS year FROM tm GROUP BY tconst) y ON y.tconst = sc.tconst)
+    """
+)
+
+
+@query(_CREDITED + "SELECT show, tconst, nconst, role, character, name FROM cc")
 def catalogue_credits(t: Tables) -> DataFrame:
     return _credits(t)[1]
 
@@ -71,14 +91,14 @@ def _scored(t: Tables) -> tuple[DataFrame, DataFrame]:
     return matches, catalogue.scores(matches, credits, cast, names.select("name_key"))
 
 
-@query()
+@query(_CREDITED + "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY show ORDER BY overlap DESC, familiar DESC, tconst) AS INTEGER) AS place FROM sc) WHERE place = 1")
 def best_titles(t: Tables) -> DataFrame:
     """The best title of each show by people in its cast, then by people known at all."""
     order = Window.partitionBy("show").orderBy(F.desc("overlap"), F.desc("familiar"), "tconst")
     return _scored(t)[1].withColumn("place", F.row_number().over(order)).where("place = 1")
 
 
-@query()
+@query(_CREDITED + "SELECT * FROM vd WHERE verdict <> 'accepted'")
 def review_queue(t: Tables) -> DataFrame:
     matches, scored = _scored(t)
     return catalogue.review(scored, matches.select("tconst", "year").groupBy("tconst").agg(F.max("year").alias("year"))).where("verdict <> 'accepted'")
@@ -144,3 +164,59 @@ def brand_history(t: Tables) -> DataFrame:
     lines = t.get("lineitem").join(t.get("part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("p_brand").alias("brand"), "l_orderkey", "l_suppkey", F.date_format("l_shipdate", "yyyy-MM-dd").alias("d"))
     rows = lines.groupBy("brand").agg(F.count_distinct("l_orderkey").alias("n_orders"), F.min("d").alias("earliest"), F.max("d").alias("latest"), F.count_distinct("l_suppkey").alias("n"))
     return rows.withColumn("status", F.when(F.col("n") >= 2, "corroborated").otherwise("single-source")).drop("n")
+
+
+_INCOMING = (
+    _CREDITED
+    + """, tt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY show ORDER BY overlap DESC, familiar DESC, tconst) AS rn FROM vd) WHERE rn = 1 AND verdict = 'accepted'),
+    by_name AS (SELECT name, arg_max(id, rec_no * 1000 + pos) AS id FROM (SELECT lower(canonical_name) AS name, id, rec_no, -1 AS pos FROM cp UNION ALL SELECT lower(name), person, rec_no, pos FROM al) WHERE name IS NOT NULL GROUP BY name),
+    ns AS (SELECT show, count(*) AS n FROM se GROUP BY show), na AS (SELECT person, count(*) AS n, min(alias_id) AS alias FROM al GROUP BY person),
+    ic AS (SELECT coalesce(b.id, regexp_replace(regexp_replace(lower(strip_accents(c.name)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS id, b.id IS NULL AS is_new, c.name, c.show, CASE WHEN ns.n = 1 THEN 1 END AS season, c.role, CASE WHEN lower(c.character) <> lower(c.name) THEN c.character END AS character,
+        tt.overlap > 0 AS confirmed, coalesce(ns.n, 0) AS n_seasons, c.tconst FROM cc c JOIN tt ON tt.show = c.show AND tt.tconst = c.tconst LEFT JOIN by_name b ON b.name = lower(c.name) LEFT JOIN ns ON ns.show = c.show WHERE c.name IS NOT NULL)
+    """
+)
+
+
+def _incoming(t: Tables) -> DataFrame:
+    matches, credits = _credits(t)
+    years = matches.select("tconst", "year").groupBy("tconst").agg(F.max("year").alias("year"))
+    return catalogue.incoming(credits, catalogue.review(_scored(t)[1], years), t.seasons, catalogue.people_by_name(t.people, t.aliases))
+
+
+@query(_INCOMING + "SELECT id, is_new, name, show, CAST(season AS INTEGER) AS season, role, character, confirmed, tconst FROM ic WHERE id <> ''")
+def incoming_credits(t: Tables) -> DataFrame:
+    """What the catalogue says of the accepted title of each show, as credits of known or new people."""
+    return _incoming(t).select("id", "is_new", "name", "show", "season", "role", "character", "confirmed", "tconst")
+
+
+@query(_INCOMING + "SELECT DISTINCT id, min(name) OVER (PARTITION BY id) AS canonical_name FROM ic WHERE is_new AND id <> ''")
+def created_people(t: Tables) -> DataFrame:
+    """People the import would create: those no name is known of."""
+    return catalogue.created(_incoming(t))
+
+
+@query()
+def imported_people(t: Tables) -> DataFrame:
+    """People after the import from the catalogue: how many credits and sources each touched one has. The fold has a Python twin in the tests, no SQL."""
+    done = catalogue.import_credits(t.people, _incoming(t))
+    return done.select("id", F.size("credits").alias("n_credits"), F.aggregate("credits", F.lit(0), lambda n, c: n + F.greatest(F.coalesce(F.size(c["sources"]), F.lit(0)), F.lit(0))).alias("n_sources"))
+
+
+@query("SELECT DISTINCT key AS title_key, channel, CAST(n AS BIGINT) AS n FROM (SELECT key, channel, count(DISTINCT id) AS n FROM (SELECT tconst AS id, titleType AS channel, trim(regexp_replace(regexp_replace(lower(primaryTitle), '\\bseason\\s*\\d+\\b|\\bs\\d+\\b', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS key FROM title_basics) WHERE key <> '' AND channel IS NOT NULL GROUP BY key, channel) WHERE n >= 2")
+def repeated_catalogue_titles(t: Tables) -> DataFrame:
+    """Titles of the catalogue that differ at most by a season's number within one kind of title."""
+    from castgraph.operators import audit
+
+    rows = t.get("title_basics").select(F.col("tconst").alias("id"), F.col("primaryTitle").alias("title"), F.array("titleType").alias("channels"))
+    return audit.same_titles(rows).withColumnRenamed("key", "title_key")
+
+
+@query("SELECT DISTINCT tconst || ':' || part AS subject FROM (SELECT tconst, nconst, unnest(string_split(lower(array_to_string(CASE WHEN characters <> '\\N' AND json_valid(characters) AND json_type(characters) = 'ARRAY' THEN from_json(characters, '[\"VARCHAR\"]') ELSE [] END, ' / ')), ' / ')) AS part FROM title_principals) c JOIN name_basics n ON lower(n.primaryName) = c.part AND contains(trim(n.primaryName), ' ') WHERE n.nconst <> c.nconst")
+def catalogue_characters_named_like_people(t: Tables) -> DataFrame:
+    """The rule "a character is another person's name" over the catalogue."""
+    from castgraph.operators import audit
+
+    named = F.array_join(F.from_json(text.known("characters"), "array<string>"), " / ")
+    credits = t.get("title_principals").select(F.col("nconst").alias("person"), "tconst", F.lit(0).alias("rec_no"), F.lit(0).alias("pos"), named.alias("character"))
+    people = t.get("name_basics").select(F.col("nconst").alias("id"), F.col("primaryName").alias("canonical_name"))
+    return audit.named_characters(credits.select("person", "tconst", "character"), people).select(F.concat_ws(":", "tconst", "part").alias("subject")).distinct()

@@ -112,9 +112,14 @@ def _naming(shows: DataFrame, column: str, games: DataFrame) -> DataFrame:
     return words.join(_games_by_key(games), "word").where(F.contains("said", F.concat(F.lit(" "), F.col("name_key"), F.lit(" ")))).select("show", "name", "ids")
 
 
+def first_named(shows: DataFrame, column: str, games: DataFrame) -> DataFrame:
+    """(show, name, ids): the first game by name that each text names."""
+    return _naming(shows, column, games).groupBy("show").agg(F.min("name").alias("name"), F.min_by("ids", "name").alias("ids"))
+
+
 def contradicted_systems(shows: DataFrame, seasons: DataFrame, games: DataFrame) -> DataFrame:
     """Titles that name a game (the first by name counts) while some season is recorded with a game of another name."""
-    first = _naming(shows, "title", games).groupBy("show").agg(F.min("name").alias("name"), F.min_by("ids", "name").alias("ids"))
+    first = first_named(shows, "title", games)
     played = seasons.select("show", F.explode("game").alias("game")).where("game IS NOT NULL").distinct()
     rows = first.join(played, "show").groupBy("show", "name").agg(F.bool_and(F.array_contains("ids", F.col("game"))).alias("fits")).where("NOT fits")
     return _finding(rows, "high", "title contradicts system", F.concat_ws(":", "show", "name"))

@@ -21,23 +21,24 @@ LIMIT, OVERLAP = 1024, 64
 #: A cut may lie this share of a piece's length away from its target.
 SLACK = 0.15
 #: A word of the pattern with more tokens than this may itself be cut, into parts of about so many tokens.
-LONGEST_WORD, PART = 16, 4
+LONGEST_WORD, PART = 32, 4
 
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n|[  ]")
 _SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*\Z")
 
 
-def _fit(words: list[str], size: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The words with the overlong ones cut, and whether each begins inside a word."""
+def _fit(words: list[str], size: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words with the overlong ones cut, whether each begins inside a word, and the tokens of whole words at their first part."""
     if not len(size) or size.max() <= LONGEST_WORD:
-        return words, np.zeros(len(words), dtype=bool)
-    out, inside = [], []
+        return words, np.zeros(len(words), dtype=bool), size
+    out, inside, whole = [], [], []
     for w, n in zip(words, size.tolist()):
         step = max(1, len(w) * PART // n) if n > LONGEST_WORD else len(w)
         for i in range(0, len(w), step):
             out.append(w[i : i + step])
             inside.append(i > 0)
-    return out, np.array(inside)
+            whole.append(0 if i else n)
+    return out, np.array(inside), np.array(whole)
 
 
 def strengths(words: list[str], inside: np.ndarray) -> np.ndarray:
@@ -158,8 +159,8 @@ def _by_code_points(encoder: bpe.Encoder, text: str, limit: int, overlap: int) -
     return out
 
 
-def split_text(encoder: bpe.Encoder, words: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[str, int, int, int]]:
-    """(piece, its tokens, code point at which it begins, code points of overlap) of one text given as its words.
+def split_text(encoder: bpe.Encoder, words: list[str], limit: int = LIMIT, overlap: int = OVERLAP, size: np.ndarray | None = None) -> list[tuple[str, int, int, int]]:
+    """(piece, its tokens, code point at which it begins, code points of overlap) of one text given as its words, whose tokens may be given.
 
     A piece is encoded by itself: its last white space may join otherwise, and a cut word's parts do; such pieces are counted
     anew, and one that exceeds the limit makes the text be cut for a limit less by what it exceeds.
@@ -168,8 +169,10 @@ def split_text(encoder: bpe.Encoder, words: list[str], limit: int = LIMIT, overl
         numbers = encoder.numbers(words)
         return encoder.offsets[numbers + 1] - encoder.offsets[numbers]
 
-    words, inside = _fit(words, tokens_of(words))
-    size = tokens_of(words)
+    given = words
+    size = tokens_of(words) if size is None else size
+    words, inside, whole = _fit(words, size)
+    size = size if words is given else tokens_of(words)
     at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))])
     strength = strengths(words, inside)
     aim = limit
@@ -177,8 +180,8 @@ def split_text(encoder: bpe.Encoder, words: list[str], limit: int = LIMIT, overl
         out, most = [], 0
         for start, fresh, end in cut(size, strength, aim, overlap):
             piece = "".join(words[start:end])
-            tokens = int(size[start:end].sum())
-            if words[end - 1].isspace() or inside[start:end].any():
+            tokens = int(whole[start:end].sum())
+            if words[end - 1].isspace() or inside[start] or (end < len(words) and inside[end]):
                 tokens = encoder.count(piece)
             most = max(most, tokens)
             out.append((piece, tokens, int(at[start]), int(at[fresh] - at[start])))
@@ -207,13 +210,14 @@ def split_oversized(df: DataFrame, key: str, text: str, path: str | None = None,
                 words = [encoder.split(t) for t in texts]
                 each = np.fromiter(map(len, words), dtype=np.int64, count=len(texts))
                 numbers = encoder.numbers([w for ws in words for w in ws])
-                passed = np.concatenate([[0], np.cumsum((encoder.offsets[numbers + 1] - encoder.offsets[numbers]))])
+                sizes = encoder.offsets[numbers + 1] - encoder.offsets[numbers]
+                passed = np.concatenate([[0], np.cumsum(sizes)])
                 ends = np.cumsum(each)
                 tokens = passed[ends] - passed[ends - each]
                 rows: list[tuple] = []
                 owner: list[int] = []
                 for i in np.flatnonzero(tokens > limit).tolist():
-                    pieces = split_text(encoder, words[i], limit, overlap)
+                    pieces = split_text(encoder, words[i], limit, overlap, sizes[ends[i] - each[i] : ends[i]])
                     owner += [a + i] * len(pieces)
                     rows += [(n, len(pieces), begins, over, count, piece) for n, (piece, count, begins, over) in enumerate(pieces)]
                 if rows:

@@ -157,3 +157,10 @@ def checked(people: DataFrame, shows: DataFrame, show_most: int = 20) -> tuple[D
     if first:
         raise ValueError("refused: " + "; ".join(f"{p['collection']}:{p['rec_no']} {p['problem']}" for p in first))
     return people, shows
+
+
+def shared_display(aliases: DataFrame) -> DataFrame:
+    """(name_key, display): for each name key of two or more people the last matching alias of the person with the least rec_no."""
+    keyed = aliases.where("name IS NOT NULL").select("person", "rec_no", "pos", "name", text.normal_name("name").alias("name_key")).where("name_key <> ''")
+    rows = keyed.groupBy("name_key").agg(F.count_distinct("person").alias("n"), F.max_by("name", F.struct(-F.col("rec_no"), "pos")).alias("display"))
+    return rows.where("n >= 2").select("name_key", "display")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from castgraph import model
+from castgraph.functions import text
 from castgraph.functions.text import ROLE_LABEL
 
 _label = re.compile(ROLE_LABEL.replace("(?i)", ""), re.I)
@@ -159,17 +161,57 @@ def merged_person(winner: dict, loser: dict) -> dict:
         if alias and alias["name"] and alias["name"].lower() not in names:
             names.add(alias["name"].lower())
             aliases.append(alias)
-    ids, credits = {a["id"] for a in aliases}, list(winner["credits"] or [])
+    ids, credits = {a["id"] for a in aliases}, [c for c in winner["credits"] or [] if c]
     for credit in loser["credits"] or []:
         if credit:
             credits = upsert(credits, {**credit, "alias": credit["alias"] if credit["alias"] in ids else None})[1]
     return {**loser, **{k: v for k, v in winner.items() if v is not None}, "aliases": aliases, "credits": credits}
 
 
-def winners(people: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(winner, loser) of pairs (a, b): the one with more credits, then the longer name, then the lesser id; each loser loses once."""
-    size = people.select("id", F.greatest(F.coalesce(F.size("credits"), F.lit(0)), F.lit(0)).alias("n"), F.length("canonical_name").alias("m"))
-    both = pairs.join(size.toDF("a", "an", "am"), "a").join(size.toDF("b", "bn", "bm"), "b")
-    first = F.struct("an", "am") >= F.struct("bn", "bm")
-    chosen = both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("winner"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("loser"))
-    return chosen.groupBy("loser").agg(F.min("winner").alias("winner")).select("winner", "loser")
+def choices(people: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(root, loser, seq): who is merged into whom, by pairs (a, b) of the same last name taken in order of their ids.
+
+    Of a pair the one with more credits wins, then the one with the longer name, then b; who lost takes part in no further pair. `root` is whom a
+    loser ends in. The pairs of one last name are decided together, for nobody is paired outside of it.
+    """
+    last = F.element_at(F.split(text.name_key("canonical_name"), " "), -1)
+    about = people.select("id", last.alias("block"), F.greatest(F.coalesce(F.size("credits"), F.lit(0)), F.lit(0)).alias("n"), F.coalesce(F.length("canonical_name"), F.lit(0)).alias("m"))
+    both = pairs.join(about.toDF("a", "block", "an", "am"), "a").join(about.select("id", "n", "m").toDF("b", "bn", "bm"), "b")
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        parent, rows = {}, []
+        for p in pdf.sort_values(["a", "b"]).itertuples():
+            if p.a in parent or p.b in parent:
+                continue
+            winner, loser = (p.a, p.b) if (p.an, p.am) > (p.bn, p.bm) else (p.b, p.a)
+            parent[loser] = winner
+            rows.append(loser)
+        out = []
+        for seq, loser in enumerate(rows):
+            root = parent[loser]
+            while root in parent:
+                root = parent[root]
+            out.append((root, loser, seq))
+        return pd.DataFrame(out, columns=["root", "loser", "seq"])
+
+    return both.groupBy("block").applyInPandas(decide, "root string, loser string, seq int")
+
+
+def merge_people(people: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The records (PERSON fields) of everybody somebody was merged into: losing names become aliases, credits are folded with all their sources."""
+    order = chosen.select(F.col("loser").alias("id"), "root", "seq").unionByName(chosen.select(F.col("root").alias("id"), "root", F.lit(-1).alias("seq")).distinct())
+    told = people.select("id", F.to_json(F.struct(*model.PERSON.names), {"ignoreNullFields": "false"}).alias("_json")).join(order, "id")
+    grouped = told.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "_json"))), lambda x: x["_json"]).alias("_all"))
+
+    @F.pandas_udf("string")
+    def fold(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            out = []
+            for records in part:
+                winner, *losers = map(json.loads, records)
+                for loser in losers:
+                    winner = merged_person(winner, loser)
+                out.append(json.dumps(winner))
+            yield pd.Series(out)
+
+    return grouped.select(F.from_json(fold("_all"), model.PERSON).alias("_p")).select("_p.*")

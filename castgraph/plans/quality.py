@@ -313,3 +313,11 @@ def problem_report(t: Tables) -> DataFrame:
 def gate(t: Tables) -> DataFrame:
     """What the gate would refuse, by collection; `integrity.checked` raises it."""
     return integrity.problems(t.get("people"), t.get("shows")).groupBy("collection").agg(F.count_distinct("rec_no").alias("n_records"), F.count(F.lit(1)).alias("n_problems"))
+
+
+@query(
+    r"""SELECT name_key, arg_max(name, (-rec_no, pos)) AS display FROM (SELECT trim(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', ' ', 'g')) AS name_key, name, person, rec_no, pos FROM al WHERE name IS NOT NULL) WHERE name_key <> '' GROUP BY name_key HAVING count(DISTINCT person) >= 2"""
+)
+def shared_name_display(t: Tables) -> DataFrame:
+    """How a name that several people have is shown: the last matching alias of the person recorded first."""
+    return integrity.shared_display(t.aliases)

@@ -6,12 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from castgraph import model
-from castgraph.functions import text
+from castgraph.functions import filters, text
 
 try:
     import yaml
@@ -160,3 +160,56 @@ def cleared_only(rows: DataFrame, source: str, registry: DataFrame) -> DataFrame
     """Rows of sources whose clearance in the registry (source, clearance) is `cleared`."""
     cleared = registry.where("clearance = 'cleared'").select(F.col("source").alias("_source")).distinct()
     return rows.join(cleared, F.col(source) == F.col("_source"), "left_semi")
+
+
+def read_all(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All four collections of a folder and their problems together (collection, file, path, message)."""
+    read = {name: read_collection(spark, folder, name) for name in model.COLLECTIONS}
+    problems = None
+    for name, (_, found) in read.items():
+        told = found.select(F.lit(name).alias("collection"), "file", "path", "message")
+        problems = told if problems is None else problems.unionByName(told)
+    return {name: records for name, (records, _) in read.items()}, problems
+
+
+def gated(spark: SparkSession, folder: str, show_most: int = 20) -> dict[str, DataFrame]:
+    """The collections of a folder, or an error that names the first problems by file."""
+    records, problems = read_all(spark, folder)
+    first = problems.orderBy("collection", "file", "path", "message").limit(show_most).collect()
+    if first:
+        raise ValueError("refused: " + "; ".join(f"{p['collection']}/{p['file']} {p['path']}: {p['message']}" for p in first))
+    return records
+
+
+def assert_cleared(source: str, registry: DataFrame) -> None:
+    """Refuse a source that the registry (source, clearance) doesn't list as cleared."""
+    if registry.where((F.col("source") == source) & (F.col("clearance") == "cleared")).isEmpty():
+        raise PermissionError(f"{source} is not cleared for use")
+
+
+def playlist_videos(pages: DataFrame, most: int) -> DataFrame:
+    """(playlist, place, video): the first videos of each playlist by page and position, at most so many; only these are shuffled."""
+    place = F.row_number().over(Window.partitionBy("playlist").orderBy("page", "pos"))
+    return pages.where("video IS NOT NULL").withColumn("place", place).where(F.col("place") <= most).select("playlist", "place", "video")
+
+
+def entity_names(entities: DataFrame, raw: str = "json") -> DataFrame:
+    """(id, name, kind): names of encyclopaedia entities, each once with the first of its kinds: label, alias, native name, pseudonym, birth name."""
+    value = lambda path: F.get_json_object(raw, path)
+    listed = lambda path: F.transform(F.from_json(value(path), "array<struct<value: string>>"), lambda a: a["value"])
+    claimed = lambda p: F.transform(F.from_json(value(f"$.claims.{p}"), "array<struct<mainsnak: struct<datavalue: struct<value: string>>>>"), lambda c: F.coalesce(F.get_json_object(c["mainsnak"]["datavalue"]["value"], "$.text"), c["mainsnak"]["datavalue"]["value"]))
+    kinds = [("label", F.array(value("$.labels.en.value"))), ("alias", listed("$.aliases.en")), ("native", claimed("P1559")), ("stage", claimed("P742")), ("birth", claimed("P1477"))]
+
+    def ranked(rank: int, kind: str, names):
+        return F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.struct(n.alias("name"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind")))
+
+    pairs = F.flatten(F.array(*[ranked(i, kind, names) for i, (kind, names) in enumerate(kinds)]))
+    rows = entities.select(value("$.id").alias("id"), F.explode(pairs).alias("_n")).select("id", "_n.*").where("name IS NOT NULL")
+    return rows.groupBy("id", "name").agg(F.min_by("kind", "rank").alias("kind"))
+
+
+def free_images(found: DataFrame) -> DataFrame:
+    """(id, url, licence): found images (id, name, title, url, licence) whose licence is known to be free and whose title has the name's last word."""
+    last = F.element_at(F.split(text.normal_name("name"), " "), -1)
+    fits = (last != "") & F.contains(F.concat(F.lit(" "), text.normal_name("title"), F.lit(" ")), F.concat(F.lit(" "), last, F.lit(" ")))
+    return found.withColumn("licence", filters.free_licence("licence")).where(fits & F.col("licence").isNotNull()).select("id", "url", "licence")

@@ -185,11 +185,10 @@ def channel(a: str, b: str) -> float | None:
                     words = [1 for (p, q), c in zip(zip(turned, skipped), costs) if c is not None and c > INITIAL - 4 and p[1] == q[1] == "w" and len(p[0]) >= 3]
                     if None not in costs and words:
                         take(sum(costs) + lost + (ORDER if turn else 0))
-    if len(x.joined) > 5:
+    if len(x.joined) > 5 and len(x.tokens) != len(y.tokens):
         for turn in range(len(y.tokens)):
-            turned = "".join(t for t, _ in y.tokens[turn:] + y.tokens[:turn])
-            d = swaps_distance(x.joined, turned, 1)
-            if d <= 1 and len(x.tokens) != len(y.tokens):
+            d = swaps_distance(x.joined, "".join(t for t, _ in y.tokens[turn:] + y.tokens[:turn]), 1)
+            if d <= 1:
                 take(JOINED + d * TYPO + (ORDER if turn else 0))
     return best
 
@@ -324,19 +323,13 @@ def _per_name(column: str, kind: str, function) -> Column:
 
 
 def likelihood(a: str, b: str) -> Column:
-    @F.pandas_udf("double")
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, y in parts:
-            yield pd.Series([channel(s, t) for s, t in zip(x, y)], dtype="float64")
-
-    return run(a, b)
-
+    """struct(log_l, typo): the channel's log likelihood of two spellings, null if none, and whether only typing errors part them."""
 
-def typing_error(a: str, b: str) -> Column:
-    @F.pandas_udf("boolean")
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("log_l double, typo boolean")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for x, y in parts:
-            yield pd.Series([mistyped(s, t) for s, t in zip(x, y)], dtype="bool")
+            found = [channel(s, t) for s, t in zip(x, y)]
+            yield pd.DataFrame({"log_l": pd.Series(found, dtype="float64"), "typo": [c is not None and c <= TYPO + 1 and mistyped(s, t) for c, s, t in zip(found, x, y)]})
 
     return run(a, b)
 
@@ -515,7 +508,7 @@ def attribute(people: DataFrame, given: Spellings) -> tuple[DataFrame, DataFrame
         return nodes.select(*[F.col(c).alias(f"{prefix}_{c}") for c in ("node", "name", "n_ids", "n_keys", "least", "log_p", "fullness", "cast_size")])
 
     judged = pairs.join(side("v"), F.col("v") == F.col("v_node")).join(side("c"), F.col("c") == F.col("c_node"))
-    judged = judged.withColumn("log_l", likelihood("v_name", "c_name")).where(F.col("log_l").isNotNull()).withColumn("typo", typing_error("v_name", "c_name"))
+    judged = judged.withColumn("_l", likelihood("v_name", "c_name")).select("*", "_l.*").where(F.col("log_l").isNotNull())
     judged = cut(judged.select("v", "c", "log_l", "typo", *[f"{p}_{c}" for p in "vc" for c in ("n_ids", "n_keys", "least", "log_p", "fullness")], F.col("c_cast_size").alias("cast_size"), F.col("c_name"), F.col("v_name")))
 
     # Between people: the lower ranked form attaches to the higher one of greatest posterior. Of two spellings that a typing error

@@ -20,9 +20,9 @@ def _flat(records: DataFrame, array: str, owner: str, keep: list[str]) -> DataFr
     return rows.where(F.col("_e").isNotNull()).select(owner, *keep, "pos", "_e.*")
 
 
-def credits(people: DataFrame) -> DataFrame:
-    """One row per credit with its person, position, and derived provenance."""
-    return with_provenance(_flat(people, "credits", "person", ["rec_no"]))
+def credits(people: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """One row per credit with its person, position, and derived provenance; `keep` has further columns of the record."""
+    return with_provenance(_flat(people, "credits", "person", ["rec_no", *(keep or [])]))
 
 
 def aliases(people: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def resolved_credits(people: DataFrame, shows: DataFrame, channels: DataFrame, g
     Seasons match by (show, ordinal), a null season matches none. The billed name is that of the person's own alias.
     """
     now_people, now_shows = current(people), current(shows)
-    base = credits(now_people).join(now_people.select("rec_no", "canonical_name", "aliases"), "rec_no")
+    base = credits(now_people, ["canonical_name", "aliases"])
     billed = F.filter("aliases", lambda a: a["id"] == F.col("alias"))
     base = base.withColumn("billed", F.get(F.transform(billed, lambda a: a["name"]), F.lit(0))).drop("aliases")
     of_seasons = seasons(now_shows)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from castgraph import model
 from castgraph.operators import audit, integrity
+from castgraph.operators import relations as rel
 from castgraph.plans.views import Tables, sql_of
+from castgraph.session import cut
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -142,19 +144,23 @@ def same_person_pairs(t: Tables) -> DataFrame:
     return integrity.same_person_pairs(t.people)
 
 
-def _default_game(t: Tables) -> str | None:
+def _default_game(seasons: DataFrame) -> str | None:
     """The game most seasons are recorded with: what an importer puts where it knows nothing."""
-    most = t.seasons.select(F.explode("game").alias("game")).where("game IS NOT NULL").groupBy("game").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "game").limit(1).collect()
+    most = seasons.select(F.explode("game").alias("game")).where("game IS NOT NULL").groupBy("game").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "game").limit(1).collect()
     return most[0]["game"] if most else None
 
 
 def findings(t: Tables) -> DataFrame:
-    people, shows, credits, seasons = t.people, t.shows, t.credits, t.seasons
+    # The rules read the current records many times: they are chosen and flattened once, with the columns that some rule reads.
+    people = cut(t.people.select("id", "rec_no", "canonical_name", "wikidata_qid", "image", "credits"))
+    shows = cut(t.shows.select("id", "rec_no", "title", "description", "solo", "links", "channels", "seasons"))
+    credits = cut(rel.credits(people).select("person", "rec_no", "pos", "show", "season", "episode", "role", "character", "note"))
+    seasons = cut(rel.seasons(shows).select("show", "ordinal", "game"))
     parts = [
         audit.characters_as_people(people), audit.character_is_person(credits, people), audit.companies(people), audit.markup(people), audit.person_shaped_titles(shows, credits),
         audit.empty_seasons(shows, seasons, credits), audit.lone_credits(credits), audit.no_game_master(credits, seasons, t.games), audit.master_and_player(credits),
         audit.shared_characters(credits), audit.contradicted_systems(shows, seasons, t.games), audit.split_titles(shows), audit.out_of_scope(shows), audit.instructional(shows),
-        audit.other_system_named(shows, seasons, t.games), audit.defaulted_system(shows, seasons, _default_game(t), more_than=0), audit.channels_without_shows(t.channels, shows), audit.twice_recorded(people),
+        audit.other_system_named(shows, seasons, t.games), audit.defaulted_system(shows, seasons, _default_game(seasons), more_than=0), audit.channels_without_shows(t.channels, shows), audit.twice_recorded(people),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -266,7 +272,7 @@ def other_system_named(t: Tables) -> DataFrame:
 @query("""SELECT 'medium' AS severity, 'defaulted system' AS what, CAST(count(*) AS VARCHAR) AS subject FROM cs WHERE NOT coalesce(starts_with(description, 'System per source'), false) AND id IN (SELECT show FROM se GROUP BY show
     HAVING bool_and(coalesce(list_distinct(game) = [(SELECT g FROM (SELECT unnest(game) AS g FROM se) WHERE g IS NOT NULL GROUP BY g ORDER BY count(*) DESC, g LIMIT 1)], false))) HAVING count(*) > 0""")
 def defaulted_system(t: Tables) -> DataFrame:
-    return audit.defaulted_system(t.shows, t.seasons, _default_game(t), more_than=0)
+    return audit.defaulted_system(t.shows, t.seasons, _default_game(t.seasons), more_than=0)
 
 
 def _part(name: str) -> str:

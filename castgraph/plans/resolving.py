@@ -161,9 +161,12 @@ def fuzzy_names(t: Tables) -> DataFrame:
 
 @query("SELECT b AS brand, count(DISTINCT l_orderkey) AS n_orders, min(d) AS earliest, max(d) AS latest, CASE WHEN count(DISTINCT l_suppkey) >= 2 THEN 'corroborated' ELSE 'single-source' END AS status FROM (SELECT p_brand AS b, l_orderkey, l_suppkey, strftime(l_shipdate, '%Y-%m-%d') AS d FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY b")
 def brand_history(t: Tables) -> DataFrame:
-    lines = t.get("lineitem").join(t.get("part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("p_brand").alias("brand"), "l_orderkey", "l_suppkey", F.date_format("l_shipdate", "yyyy-MM-dd").alias("d"))
-    rows = lines.groupBy("brand").agg(F.count_distinct("l_orderkey").alias("n_orders"), F.min("d").alias("earliest"), F.max("d").alias("latest"), F.count_distinct("l_suppkey").alias("n"))
-    return rows.withColumn("status", F.when(F.col("n") >= 2, "corroborated").otherwise("single-source")).drop("n")
+    lines = t.get("lineitem").join(t.get("part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("p_brand").alias("brand"), "l_orderkey", "l_suppkey", "l_shipdate")
+    ends = lambda c, low, high: (F.min(low).alias(f"{c}_low"), F.max(high).alias(f"{c}_high"))
+    orders = lines.groupBy("brand", "l_orderkey").agg(*ends("d", "l_shipdate", "l_shipdate"), *ends("s", "l_suppkey", "l_suppkey"))
+    rows = orders.groupBy("brand").agg(F.count(F.lit(1)).alias("n_orders"), *ends("d", "d_low", "d_high"), *ends("s", "s_low", "s_high"))
+    told = F.when(F.col("s_low") != F.col("s_high"), "corroborated").otherwise("single-source")  # two suppliers at least
+    return rows.select("brand", "n_orders", F.date_format("d_low", "yyyy-MM-dd").alias("earliest"), F.date_format("d_high", "yyyy-MM-dd").alias("latest"), told.alias("status"))
 
 
 _INCOMING = (

@@ -36,6 +36,10 @@ LINK_ORDER = {"watch": 0, "listen": 1, "home": 2, "read": 3}
 # End of fixed values.
 
 
+#: What plain YAML would read as something else than this text.
+YAML_UNSAFE = r"^[\s\-?:,\[\]{}#&*!|>'\"%@`]|: | #|\s$|^$|(?i)^(true|false|null|yes|no|~|[-+.0-9][-+.0-9e_:]*)$"
+
+
 def _accented() -> tuple[str, str]:
     """Latin letters that decompose into a plain letter and marks, and those plain letters, by the Unicode database."""
     pairs = []
@@ -204,7 +208,7 @@ def close(a: Column | str, b: Column | str, most: int = 2) -> Column:
 def yaml_quoted(c: Column | str) -> Column:
     """A scalar for generated YAML, quoted where plain text would be read as something else."""
     text = _col(c)
-    unsafe = text.rlike(r"^[\s\-?:,\[\]{}#&*!|>'\"%@`]|: | #|\s$|^$|(?i)^(true|false|null|yes|no|~|[-+.0-9][-+.0-9e_:]*)$")
+    unsafe = text.rlike(YAML_UNSAFE)
     return F.when(unsafe, F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))).otherwise(text)
 
 

@@ -86,3 +86,44 @@ def same_channel(asked: Column, found: Column) -> Column:
     """Whether a channel that was found is the one asked for: one name contains the other."""
     a, b = (F.regexp_replace(F.lower(c), "[^a-z0-9]", "") for c in (asked, found))
     return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
+
+
+def overlaid(records: DataFrame, over: DataFrame, columns: list[str]) -> DataFrame:
+    """Records with what a fresher source (id, columns) says laid over theirs: a podcast's feed over its directory entry."""
+    told = over.groupBy("id").agg(*[F.first(c, ignorenulls=True).alias(f"_{c}") for c in columns])
+    return records.join(told, "id", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*[f"_{c}" for c in columns])
+
+
+def resolved_pages(asked: DataFrame, pages: DataFrame, hops: int = 2) -> DataFrame:
+    """(host, page, title, wikitext) of asked (host, page) among captured pages (host, title, wikitext), redirects followed so many times; missing pages drop out.
+
+    Titles are compared with blanks for underscores and a capital first letter. A redirect that leads nowhere, or on and on, gives no row.
+    """
+    norm = lambda c: F.concat(F.upper(F.substring(F.trim(F.translate(c, "_", " ")), 1, 1)), F.substring(F.trim(F.translate(c, "_", " ")), 2, 10_000))
+    target = F.nullif(F.regexp_extract("wikitext", r"(?i)^\s*#redirect\s*:?\s*\[\[([^\]|#]+)", 1), F.lit(""))
+    known = pages.groupBy("host", norm(F.col("title")).alias("title")).agg(F.min("wikitext").alias("wikitext")).withColumn("_to", norm(target))
+    found = asked.select("host", "page", norm(F.col("page")).alias("title")).join(known, ["host", "title"])
+    for _ in range(hops):
+        moved = found.where("_to IS NOT NULL").select("host", "page", F.col("_to").alias("title")).join(known, ["host", "title"])
+        found = found.where("_to IS NULL").unionByName(moved)
+    return found.where("_to IS NULL").select("host", "page", "title", "wikitext")
+
+
+def usable_wikis(wikis: DataFrame, least: int = 20) -> DataFrame:
+    """Wikis (host, articles, template) that have a campaign template and so many articles."""
+    return wikis.where((F.col("articles") >= least) & F.col("template").isNotNull())
+
+
+def promising_channels(channels: DataFrame, playlists: DataFrame, least: int, most: int = 6) -> DataFrame:
+    """(channel, playlist, n): of channels (channel, subscribers) with so many subscribers the largest playlists (channel, playlist, n), at most so many each."""
+    kept = channels.groupBy("channel").agg(F.max("subscribers").alias("s")).where(F.col("s") >= least).select("channel")
+    place = F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("n"), "playlist"))
+    return playlists.join(kept, "channel", "left_semi").withColumn("_p", place).where(F.col("_p") <= most).select("channel", "playlist", "n")
+
+
+def matched_entities(incoming: DataFrame, people: DataFrame) -> DataFrame:
+    """(key, id, by) of incoming (key, qid, name): whom we have by the same identifier, else under the name's slug; `by` is null for nobody."""
+    by_qid = people.where("wikidata_qid IS NOT NULL").groupBy(F.col("wikidata_qid").alias("qid")).agg(F.min("id").alias("_q"))
+    by_slug = people.select(F.col("id").alias("_slug")).distinct()
+    met = incoming.join(by_qid, "qid", "left").withColumn("_key", text.slug("name")).join(by_slug, F.col("_key") == F.col("_slug"), "left")
+    return met.select("key", F.coalesce("_q", "_slug").alias("id"), F.when(F.col("_q").isNotNull(), "identifier").when(F.col("_slug").isNotNull(), "name").alias("by"))

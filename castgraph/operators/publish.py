@@ -150,3 +150,9 @@ def front_text(people: DataFrame, shows: DataFrame, credits: DataFrame, base: st
 def write_entities(records: DataFrame, path: str, key: str = "id") -> None:
     """One folder per entity with its JSON."""
     records.withColumn("_key", F.col(key)).write.mode("overwrite").partitionBy("_key").json(path)
+
+
+def contribution(show: Column, season: Column, role: Column, character: Column, url: Column) -> Column:
+    """The YAML of one credit as somebody would contribute it; what is unknown is left out."""
+    lines = [F.concat(F.lit("- show: "), text.yaml_quoted(show)), F.concat(F.lit("  season: "), season.cast("string")), F.concat(F.lit("  role: "), text.yaml_quoted(role)), F.concat(F.lit("  character: "), text.yaml_quoted(character)), F.concat(F.lit("  sources:\n    - url: "), text.yaml_quoted(url))]
+    return F.concat_ws("\n", *lines)

@@ -254,9 +254,10 @@ def weighted_random_entity(t: Tables) -> DataFrame:
     return ranking.random_entity(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]), 7)
 
 
-@query("SELECT host, person, n, CAST(row_number() OVER (PARTITION BY person ORDER BY n DESC, host) AS INTEGER) AS place FROM (SELECT person, host, count(*) AS n FROM (SELECT person, regexp_replace(lower(regexp_extract(s.url, '^[a-zA-Z]+://([^/?#]+)', 1)), '^www\\.', '') AS host FROM (SELECT person, unnest(sources) AS s FROM cr)) WHERE host LIKE '%wiki%' GROUP BY person, host)")
+@query(r"SELECT host, person, n, CAST(row_number() OVER (PARTITION BY person ORDER BY n DESC, host) AS INTEGER) AS place FROM (SELECT person, host, count(*) AS n FROM (SELECT person, regexp_replace(lower(regexp_extract(s.url, '^[a-zA-Z]+://([^/?#]+)', 1)), '^www\.', '') AS host FROM (SELECT person, unnest(sources) AS s FROM cr)) WHERE host IN (SELECT host FROM wiki_campaigns) GROUP BY person, host)")
 def wikis_of_person(t: Tables) -> DataFrame:
     """The wikis each person's credits cite, the most cited first."""
-    hosts = t.credits.select("person", F.explode("sources").alias("s")).select("person", text.url_host("s.url").alias("host")).where(F.contains("host", F.lit("wiki")))
-    counts = hosts.groupBy("person", "host").agg(F.count(F.lit(1)).alias("n"))
+    hosts = t.credits.select("person", F.explode("sources").alias("s")).select("person", text.url_host("s.url").alias("host"))
+    wikis = t.get("wiki_campaigns").select("host").distinct()
+    counts = hosts.join(wikis, "host", "left_semi").groupBy("person", "host").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("place", F.row_number().over(Window.partitionBy("person").orderBy(F.desc("n"), "host")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from castgraph.functions import filters, text
-from castgraph.operators import audit, discovery, extraction, layouts, linking
+from castgraph.operators import audit, discovery, extraction, layouts, linking, publish
 from castgraph.plans.views import Tables, sql_of
 
 QUERIES: dict = {}
@@ -208,3 +208,62 @@ def first_template_pages(t: Tables) -> DataFrame:
     ranks = F.filter(F.transform(F.filter("credits", lambda g: g.isNotNull()), lambda g: F.array_position(F.array(*map(F.lit, ranked)), g["role"])), lambda p: p > 0)
     pages = t.get("wiki_campaigns").select("host", "campaign_id", F.get(F.array(*map(F.lit, ranked)), (F.array_min(ranks) - 1).cast("int")).alias("template"))
     return discovery.first_with_hits(pages, "host", "template", ranked)
+
+
+# The rules about names and titles, over the short lines of texts: the people and shows of the test data break few of them.
+def _as_people(t: Tables) -> DataFrame:
+    return _lines(t).select(F.col("line").alias("id"), F.col("line").alias("canonical_name"))
+
+
+@query(f"SELECT DISTINCT 'high' AS severity, 'company name' AS what, n AS subject FROM (SELECT publisher AS n FROM games UNION SELECT name FROM main.channels) WHERE regexp_matches(n, {_q(audit.COMPANY_WORD)})")
+def names_of_companies(t: Tables) -> DataFrame:
+    names = t.games.select(F.col("publisher").alias("id")).unionByName(t.channels.select(F.col("name").alias("id"))).distinct()
+    return audit.companies(names.withColumn("canonical_name", F.col("id")))
+
+
+@query(f"SELECT 'high' AS severity, 'markup in a name' AS what, line AS subject FROM ({_LINES}) WHERE regexp_matches(line, {_q(audit.MARKUP)})")
+def lines_with_markup(t: Tables) -> DataFrame:
+    return audit.markup(_as_people(t))
+
+
+@query(f"SELECT 'high' AS severity, 'instructional title' AS what, line AS subject FROM ({_LINES}) WHERE regexp_matches(line, {_q(audit.INSTRUCTIONAL)})")
+def instructional_lines(t: Tables) -> DataFrame:
+    return audit.instructional(_lines(t).select(F.col("line").alias("id"), F.col("line").alias("title")))
+
+
+@query(f"SELECT DISTINCT 'medium' AS severity, 'title like a person' AS what, primaryName AS subject FROM name_basics WHERE regexp_matches(primaryName, {_q(audit.PERSON_SHAPED)})")
+def person_shaped_names(t: Tables) -> DataFrame:
+    none = F.struct(F.lit(None).cast("string").alias("podcast"), F.lit(None).cast("string").alias("youtube")).alias("links")
+    names = t.get("name_basics").select(F.col("primaryName").alias("id")).distinct()
+    return audit.person_shaped_titles(names.select("id", F.col("id").alias("title"), none), t.credits)
+
+
+@query(
+    r"""SELECT rec_no AS key, coalesce(q.id, s.id) AS id, CASE WHEN q.id IS NOT NULL THEN 'identifier' WHEN s.id IS NOT NULL THEN 'name' END AS by FROM (SELECT rec_no, wikidata_qid AS qid, regexp_replace(regexp_replace(lower(strip_accents(canonical_name)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM people) p
+    LEFT JOIN (SELECT wikidata_qid, min(id) AS id FROM cp WHERE wikidata_qid IS NOT NULL GROUP BY wikidata_qid) q ON q.wikidata_qid = p.qid LEFT JOIN (SELECT id FROM cp UNION SELECT regexp_replace(id, '-[^-]*$', '') FROM cp) s ON s.id = p.slug"""
+)
+def matched_entities(t: Tables) -> DataFrame:
+    """Everybody who was ever recorded, matched by identifier, else by the slug of the name, with ids also known without their last part."""
+    known = t.people.select("id", "wikidata_qid").unionByName(t.people.select(F.regexp_replace("id", "-[^-]*$", "").alias("id"), F.lit(None).cast("string").alias("wikidata_qid")))
+    incoming = t.get("people").select(F.col("rec_no").alias("key"), F.col("wikidata_qid").alias("qid"), F.col("canonical_name").alias("name"))
+    return discovery.matched_entities(incoming, known)
+
+
+_yaml = lambda c: f"""CASE WHEN regexp_matches({c}, {_q(text.YAML_UNSAFE)}) THEN '"' || replace(replace({c}, '\\', '\\\\'), '"', '\\"') || '"' ELSE {c} END"""
+
+
+@query(f"SELECT rec_no, CAST(pos AS INTEGER) AS pos, concat_ws(chr(10), '- show: ' || {_yaml('show')}, '  season: ' || CAST(season AS VARCHAR), '  role: ' || {_yaml('role')}, '  character: ' || {_yaml('character')}, '  sources:' || chr(10) || '    - url: ' || {_yaml('sources[1].url')}) AS snippet FROM cr")
+def contributions(t: Tables) -> DataFrame:
+    """Each credit as the text a contributor would send, with its first source."""
+    first = F.get(F.filter("sources", lambda s: s.isNotNull()), F.lit(0))["url"]
+    return t.credits.select("rec_no", "pos", publish.contribution(F.col("show"), F.col("season"), F.col("role"), F.col("character"), first).alias("snippet"))
+
+
+@query(
+    """, o AS (SELECT character, min(person) AS owner FROM cr WHERE contains(trim(character), ' ') GROUP BY character)
+    SELECT DISTINCT c.person, c.part FROM (SELECT person, unnest(string_split(lower(character), ' / ')) AS part FROM cr) c JOIN o ON lower(o.character) = c.part WHERE c.person <> o.owner"""
+)
+def inherited_characters(t: Tables) -> DataFrame:
+    """Who plays a character, or a part of one, that is the full name of one somebody else plays."""
+    owners = t.credits.where(F.contains(F.trim("character"), F.lit(" "))).groupBy("character").agg(F.min("person").alias("id")).select("id", F.col("character").alias("canonical_name"))
+    return audit.named_characters(t.credits.select("person", "character"), owners).select("person", "part").distinct()

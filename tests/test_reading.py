@@ -207,3 +207,24 @@ def test_links_are_described_in_order(spark):
 def test_entities_are_written_apart(spark, tmp_path):
     publish.write_entities(spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int"), str(tmp_path / "out"))
     assert {p.name for p in (tmp_path / "out").glob("_key=*")} == {"_key=a", "_key=b"}
+
+
+def test_pages_follow_redirects(spark):
+    pages = spark.createDataFrame([("h", "Ana Vale", "text"), ("h", "Ana", "#REDIRECT [[ana_Vale#x]]"), ("h", "A", "#redirect [[Ana]]"), ("h", "Loop", "#REDIRECT [[Loop]]"), ("h", "Lost", "#REDIRECT [[Gone]]"), ("i", "Ana Vale", "other")], "host string, title string, wikitext string")
+    asked = spark.createDataFrame([("h", "Ana_Vale"), ("h", "ana"), ("h", "A"), ("h", "Loop"), ("h", "Lost"), ("h", "None")], "host string, page string")
+    got = {(r["page"], r["title"], r["wikitext"]) for r in discovery.resolved_pages(asked, pages).collect()}
+    assert got == {("Ana_Vale", "Ana Vale", "text"), ("ana", "Ana Vale", "text"), ("A", "Ana Vale", "text")}
+
+
+def test_channels_wikis_and_feeds(spark):
+    channels = spark.createDataFrame([("c", 500), ("d", 5), ("c", 10)], "channel string, subscribers int")
+    playlists = spark.createDataFrame([("c", f"p{i}", i) for i in range(9)] + [("d", "q", 99)], "channel string, playlist string, n int")
+    assert {r["playlist"] for r in discovery.promising_channels(channels, playlists, 100).collect()} == {f"p{i}" for i in range(3, 9)}
+    wikis = spark.createDataFrame([("a", 20, "t"), ("b", 19, "t"), ("c", 50, None)], "host string, articles int, template string")
+    assert [r["host"] for r in discovery.usable_wikis(wikis).collect()] == ["a"]
+    shows = spark.createDataFrame([("a", "old", "kept"), ("b", "old", None)], "id string, title string, link string")
+    feed = spark.createDataFrame([("a", "new", None)], "id string, title string, link string")
+    assert {tuple(r) for r in discovery.overlaid(shows, feed, ["title", "link"]).collect()} == {("a", "new", "kept"), ("b", "old", None)}
+    people = spark.createDataFrame([("ana-vale", "Q1"), ("bo", None)], "id string, wikidata_qid string")
+    incoming = spark.createDataFrame([(1, "Q1", "Bo"), (2, "Q9", "Bo"), (3, None, "Zed"), (4, None, None)], "key int, qid string, name string")
+    assert {tuple(r) for r in discovery.matched_entities(incoming, people).collect()} == {(1, "ana-vale", "identifier"), (2, "bo", "name"), (3, None, None), (4, None, None)}

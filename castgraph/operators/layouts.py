@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import regex
 
 from castgraph.functions import filters
+from castgraph.operators import extraction
 from castgraph.operators.merge import real_character
 
 Credit = tuple[str, str, str | None]
@@ -210,3 +211,121 @@ def best_path(found: dict[str, list[Credit]], paths: list[str]) -> tuple[str, li
     """Of the pages of a website the one with most credits, two at least; of equals the one whose path comes first."""
     ranked = [(-len(found[p]), i, p) for i, p in enumerate(paths) if len(found.get(p, ())) >= 2]
     return (min(ranked)[2], found[min(ranked)[2]]) if ranked else None
+
+
+# Linked values of infoboxes: which links are performers and which their parts.
+
+_as = re.compile(r"\bas\b|\s[-–—]\s", re.I)
+
+
+@dataclass
+class Cast:
+    """A linked value read: performers with their parts, who of them runs the game, and links that are no person."""
+
+    people: list[tuple[str, str | None, bool]]
+    dropped: list[str]
+
+
+def _links(value: str) -> list[tuple[int, int, str]]:
+    """(start, end, name) of each link, without the prefix of another wiki; a shown label goes before the target."""
+    return [(m.start(), m.end(), re.sub(r"^(?:[a-z][a-z0-9-]*:)+(?=\S)", "", (m.group(2) or m.group(1)).strip())) for m in re.finditer(r"\[\[([^\]|]+)(?:\|([^\]]*))?\]\]", value)]
+
+
+def _slots(value: str) -> list[str]:
+    """The positional parts of a template inside a value, in order, without separators of groups."""
+    start = re.search(r"\{\{[A-Za-z]", value)
+    if not start:
+        return []
+    depth, parts, last = 0, [], None
+    for m in re.finditer(r"\{\{|\[\[|\}\}|\]\]|\|", value[start.start() :]):
+        mark, at = m.group(), start.start() + m.start()
+        if mark in ("{{", "[["):
+            depth += 1
+        elif mark == "|":
+            if depth == 1:
+                parts += [value[last:at]] if last is not None else []
+                last = at + 1
+        else:
+            depth -= 1
+            if not depth:
+                parts += [value[last:at]] if last is not None else []
+                break
+    return [p.strip() for p in parts if "=" not in p and not re.fullmatch(r"-{2,}", p.strip())]
+
+
+def _by_slots(value: str) -> list[tuple[str, str | None, bool]]:
+    """A template's parts: performers only, if nearly every second part is empty, else performers and their parts in turn."""
+    slots = _slots(value)
+    while slots and not slots[0]:
+        slots = slots[1:]
+    filled, seconds = [s for s in slots if s], [s for s in slots[1::2] if s]
+    if filled and len(seconds) <= len(filled) / 4:
+        named = [(_links(s), s) for s in filled]
+        return [(links[0][2] if links else s, None, False) for links, s in named if len(links) == 1 or not links and looks_like["page"](s) and " " in s]
+    if not seconds or any(len(_links(s)) != 1 for s in slots[::2]):
+        return []
+    parts = slots[1::2] + [""] * (len(slots) % 2)
+    return [(_links(s)[0][2], " / ".join(n for _, _, n in _links(p)) or None, bool(_runner.fullmatch(p.replace("[[", "").replace("]]", "").strip()))) for s, p in zip(slots[::2], parts)]
+
+
+def _by_lines(lines: list[str], least: int) -> list[tuple[str, str | None, bool]]:
+    """One performer a line, before "as" or a dash; the links after it are the part. Nothing if some line names several performers."""
+    out = []
+    for line in lines:
+        links, at = _links(line), _as.search(line)
+        before = [n for start, _, n in links if not at or start < at.start()]
+        if len(before) != 1:
+            return []
+        out.append((before[0], " / ".join(n for start, _, n in links if at and start > at.start()) or None, bool(at and _runner.fullmatch(re.sub(r"\[\[|\]\]|'{2,}", "", line[at.end() :]).strip()))))
+    return out if len(out) >= least else []
+
+
+def linked_cast(value: str, kinds: dict[str, str] | None = None) -> Cast:
+    """Who a linked value credits, by the first reading that fits: a template's parts, a list, lines that say "as", else link by link.
+
+    Link by link a person opens an entry, a character belongs to the entry before, an organisation is dropped; a link of unknown kind after a
+    performer without a part is the part.
+    """
+    kinds, links = kinds or {}, _links(value)
+    bullets = [line for line in map(str.strip, value.splitlines()) if line.startswith("*") and "[[" in line]
+    rows = [line for line in re.split(r"<br\s*/?>|\n", value, flags=re.I) if "[[" in line]
+    found = _by_slots(value) or (_by_lines(bullets, 2) if len(bullets) > 1 else []) or (_by_lines(rows, 1) if _as.search(value) and len(links) > 1 else [])
+    if found:
+        return Cast(found, [])
+    people: list[list] = []
+    dropped = []
+    for i, (_, end, name) in enumerate(links):
+        kind = kinds.get(name, "unknown")
+        if kind == "organisation":
+            dropped.append(name)
+        elif people and (kind == "character" or kind == "unknown" and people[-1][1] is None):
+            people[-1][1] = f"{people[-1][1]} / {name}" if people[-1][1] else name
+        elif kind != "character":
+            after = value[end : links[i + 1][0] if i + 1 < len(links) else len(value)]
+            people.append([name, None, any(_runner.fullmatch(t.strip(" ()'")) for t in re.split(r"[|,\n]|<br\s*/?>", after))])
+    return Cast([tuple(p) for p in people], dropped)
+
+
+def cast_of_infobox(wikitext: str, kinds: dict[str, str] | None = None, prefix: str = "infobox") -> tuple[list[Credit], list[str], list[str]]:
+    """(credits, dropped links, unmapped fields) of a page: its infobox, else its cast section; who runs the game by prose where no field says so.
+
+    A part that is a performer's page under another field's role stays with the performer; fields with links that map to no role are reported.
+    """
+    found = extraction.template(wikitext, prefix)
+    fields = extraction.parameters(found) if found else {}
+    credits: list[Credit] = []
+    dropped, unmapped = [], []
+    for key, value in fields.items():
+        role = extraction.FIELD_ROLES.get(key)
+        if role is None:
+            unmapped += [key] if "[[" in value else []
+        elif "[[" in value:
+            cast = linked_cast(value, kinds)
+            dropped += cast.dropped
+            credits += [(name, "GM/DM" if runs else role, None if runs else part) for name, part, runs in cast.people]
+        else:
+            credits += [(name, role, part) for name, part in extraction.people_of_value(value)]
+    credits = credits or prose_cast(wikitext)
+    if not any(role == "GM/DM" for _, role, _ in credits):
+        credits += [(name, "GM/DM", None) for name in prose_runners(wikitext)]
+    return credits, dropped, unmapped

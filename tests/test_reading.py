@@ -228,3 +228,27 @@ def test_channels_wikis_and_feeds(spark):
     people = spark.createDataFrame([("ana-vale", "Q1"), ("bo", None)], "id string, wikidata_qid string")
     incoming = spark.createDataFrame([(1, "Q1", "Bo"), (2, "Q9", "Bo"), (3, None, "Zed"), (4, None, None)], "key int, qid string, name string")
     assert {tuple(r) for r in discovery.matched_entities(incoming, people).collect()} == {(1, "ana-vale", "identifier"), (2, "bo", "name"), (3, None, None), (4, None, None)}
+
+
+@pytest.mark.parametrize(
+    "value, kinds, people, dropped",
+    [
+        ("{{Starring| [[Ana Vale]] | [[Opal]] |--------| [[Bo Reed]] | DM }}", {}, [("Ana Vale", "Opal", False), ("Bo Reed", None, True)], []),
+        ("{{Starring| [[Ana Vale]] | | [[Bo Reed]] | | Cy Dune | }}", {}, [("Ana Vale", None, False), ("Bo Reed", None, False), ("Cy Dune", None, False)], []),
+        ("* [[Ana Vale]]\n* [[Bo Reed]] as [[Zed]] and [[Zod]]", {}, [("Ana Vale", None, False), ("Bo Reed", "Zed / Zod", False)], []),
+        ("'''[[w:c:x:Ana|Ana Vale]]''' as [[Opal]]<br>[[Bo Reed]] – [[Zed]]", {}, [("Ana Vale", "Opal", False), ("Bo Reed", "Zed", False)], []),
+        ("[[Ana Vale]] [[Opal]] [[Bo Reed]] [[Acme]] (DM)", {"Bo Reed": "person", "Acme": "organisation"}, [("Ana Vale", "Opal", False), ("Bo Reed", None, False)], ["Acme"]),
+        ("[[Ana Vale]] (DM), [[Bo Reed]]", {"Ana Vale": "person", "Bo Reed": "person"}, [("Ana Vale", None, True), ("Bo Reed", None, False)], []),
+        ("", {}, [], []),
+    ],
+)
+def test_linked_values(value, kinds, people, dropped):
+    cast = layouts.linked_cast(value, kinds)
+    assert (cast.people, cast.dropped) == (people, dropped)
+
+
+def test_pages_with_and_without_an_infobox():
+    page = "{{Infobox campaign\n|players=* [[Ana Vale]] as [[Opal]]\n* [[Bo Reed]]\n|network=[[Acme]]\n|host=Cy Dune}}\nThe campaign is DMed by [[Dee Finch]]."
+    assert layouts.cast_of_infobox(page) == ([("Ana Vale", "player", "Opal"), ("Bo Reed", "player", None), ("Cy Dune", "host", None), ("Dee Finch", "GM/DM", None)], [], ["network"])
+    assert layouts.cast_of_infobox("== Cast ==\n* [[Ana Vale]] as the Keeper\n* [[Bo]] as Zed")[0] == [("Ana Vale", "GM/DM", None), ("Bo", "player", "Zed")]
+    assert layouts.cast_of_infobox("") == ([], [], [])

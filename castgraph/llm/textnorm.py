@@ -108,10 +108,7 @@ class Normaliser:
             return self.space.sub(" ", text) if self.space.search(text) else text
         text = self.invisible.sub("", text)
         text = self.space.sub(" ", text)
-        text = self.normal(text)
-        if not unicodedata.is_normalized("NFKC", text):  # what dropping or splicing brought together
-            text = unicodedata.normalize("NFKC", text)
-        return self.unmixed(text)
+        return self.unmixed(self.normal(text))
 
     def is_case(self, text: str) -> bool:
         """Whether the text differs from its consistent form."""

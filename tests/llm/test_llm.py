@@ -142,6 +142,17 @@ def test_spliced_segments_equal_whole_normalisation(text):
     assert n.canonical(text) == n.unmixed(unicodedata.normalize("NFKC", bare))
 
 
+def test_spliced_segments_equal_whole_normalisation_of_dense_texts():
+    """Texts that are mostly of unstable characters of all planes, in which segments meet."""
+    n, r = textnorm.normaliser(), random.Random(1)
+    pool = [chr(p) for p in range(0x80, 0x30000) if not 0xD800 <= p < 0xE000 and unicodedata.category(chr(p)) not in ("Cn", "Co")]
+    unstable = [c for c in pool if n.segment.search(c)]
+    for _ in range(40_000):
+        text = "".join(r.choice(unstable) if r.random() < 0.6 else r.choice(pool) if r.random() < 0.5 else r.choice("abAB 1") for _ in range(r.randint(1, 8)))
+        bare = n.space.sub(" ", n.invisible.sub("", text))
+        assert n.normal(bare) == unicodedata.normalize("NFKC", bare)
+
+
 def test_names_of_a_table(spark):
     alias = {f: None for f in model.ALIAS.names}
     people = [person(1, "a", canonical_name="Zoë", aliases=[None, alias | {"name": "Ａnn"}, alias]), person(2, None), person(3, "b", canonical_name="plain", aliases=[])]

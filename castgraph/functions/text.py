@@ -150,10 +150,11 @@ def year_range(earliest: Column | str, latest: Column | str) -> Column:
 
 
 def compact_count(c: Column | str) -> Column:
-    """1.2M, 12K or the number."""
+    """1.2M, 12K or the number; halves are rounded up."""
     n = _col(c)
-    million = F.concat(F.regexp_replace(F.format_string("%.1f", n / 1e6), r"\.0$", ""), F.lit("M"))
-    return F.when(n >= 1_000_000, million).when(n >= 1000, F.concat(F.round(n / 1000.0).cast("long").cast("string"), F.lit("K"))).otherwise(n.cast("string"))
+    tenths = F.floor((n + 50_000) / 100_000)
+    million = F.concat(F.floor(tenths / 10).cast("string"), F.when(tenths % 10 != 0, F.concat(F.lit("."), (tenths % 10).cast("string"))).otherwise(""), F.lit("M"))
+    return F.when(n >= 1_000_000, million).when(n >= 1000, F.concat(F.floor((n + 500) / 1000).cast("string"), F.lit("K"))).otherwise(n.cast("string"))
 
 
 def html_lines(c: Column | str) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from castgraph.plans import pages, problems, processing, quality, reading, resolving, views
+from castgraph.plans import forms, pages, problems, processing, quality, reading, resolving, views
 
 FLAGSHIP = "filmography"
-_MODULES = [problems, views, pages, quality, resolving, processing, reading]
+_MODULES = [problems, views, pages, quality, resolving, processing, reading, forms]
 
 
 def queries() -> dict[str, Callable]:

@@ -129,15 +129,15 @@ def read_dump(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return rows.repartition(spark.sparkContext.defaultParallelism) if path.endswith(".gz") else rows
 
 
-def feed_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
-    """(title, notes, link) of each item of RSS texts; encoded content is preferred to the description."""
+def feed_items(feeds: DataFrame, xml: str = "xml", keep: list[str] | None = None) -> DataFrame:
+    """(title, notes, link) of each item of RSS texts; encoded content is preferred to the description. `keep` has further tags."""
     items = feeds.select(F.explode(F.regexp_extract_all(xml, F.lit(r"(?s)<item\b[^>]*>(.*?)</item>"), F.lit(1))).alias("item"))
 
     def tag(name: str):
         found = F.regexp_extract("item", rf"(?s)<{name}\b[^>]*>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{name}>", 1)
         return F.nullif(found, F.lit(""))
 
-    return items.select(tag("title").alias("title"), text.html_lines(F.coalesce(tag("content:encoded"), tag("description"))).alias("notes"), tag("link").alias("link"))
+    return items.select(tag("title").alias("title"), text.html_lines(F.coalesce(tag("content:encoded"), tag("description"))).alias("notes"), tag("link").alias("link"), *[tag(k).alias(k) for k in keep or []])
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

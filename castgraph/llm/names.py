@@ -78,7 +78,7 @@ _camel = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
 _handle = re.compile(r"@?([^\W\d_]+)[._]?([^\W\d_]*)[._]?\d{1,4}")
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=30_000)
 def read_name(text: str) -> Name:
     text = textnorm.normaliser().canonical(text).strip()
     whole = _handle.fullmatch(text.replace(" ", ""))
@@ -106,7 +106,7 @@ def fold(text: str) -> str:
     return plain(text).translate(NO_DECOMPOSITION)
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=30_000)
 def respelt(word: str) -> str:
     """A form in which words that sound alike are spelt alike."""
     for a, b in (("ie", "i"), ("ph", "f"), ("ck", "k"), ("x", "ks"), ("qu", "kv"), ("q", "k"), ("c", "k"), ("w", "v"), ("y", "i"), ("z", "s"), ("th", "t")):
@@ -156,7 +156,7 @@ def _nick_initial(a: tuple[str, str], b: tuple[str, str]) -> bool:
     return kind == "w" and any(f[0] == short for f in _FORMAL.get(word, ()))
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=20_000)
 def channel(a: str, b: str) -> float | None:
     """Log likelihood that one of two spellings is a form of the other; None if it isn't."""
     x, y = read_name(a), read_name(b)
@@ -296,7 +296,6 @@ def whole_key(text: str) -> str | None:
     return "n:" + " ".join(sorted(t for t, _ in name.tokens))
 
 
-@lru_cache(maxsize=200_000)
 def mistyped(a: str, b: str) -> bool:
     """Whether two spellings have the same number of whole words, in some turn equal but for typing errors in at least one."""
     x, y = read_name(a), read_name(b)

@@ -26,7 +26,7 @@ _appended = re.compile(r"\((?:season|series|podcast|tv)[^)]*\)|[:\-–—]\s*(?:
 # End of fixed values.
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=30_000)
 def title_words(title: str) -> tuple[str, ...]:
     """The telling words of a title; all its words if none is telling."""
     text = plain(title.replace("_", " ")).strip()
@@ -63,7 +63,7 @@ def title_keys(words: dict[str, tuple[int, list[str]]]) -> list[tuple[str, bool]
     return list(keys.items())
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def swaps_distance(a: str, b: str, most: int) -> int:
     """Edits between two words, a swap of neighbours being one; most + 1 if there are more."""
     if a == b:
@@ -84,7 +84,6 @@ def swaps_distance(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
-@lru_cache(maxsize=200_000)
 def similarity(a: str, b: str) -> float:
     """1 for the same telling words; less for typing errors (0.03 each) and for words only one title has; 0 if the shorter isn't contained."""
     one, two = sorted((list(title_words(a)), list(title_words(b))), key=len)

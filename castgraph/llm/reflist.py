@@ -59,28 +59,41 @@ def budget(length: int) -> int:
 
 
 class Automaton:
-    """Levenshtein automaton (with swaps) of a word: its states are the rows of the distance table, cut off beyond the budget."""
+    """Levenshtein automaton (with swaps) of a word: a state is the band of a row of the distance table that can stay within the budget.
+
+    At depth i the band has the cells i - most to i + most of the row; all others exceed the budget. So a step costs the budget, not the word's length.
+    """
 
     def __init__(self, word: str, most: int):
-        self.word, self.most = word, most
+        self.word, self.most, self.size = word, most, 2 * most + 1
 
     def start(self) -> tuple:
-        return tuple(range(len(self.word) + 1)), None, ""
+        return 0, tuple(j if j >= 0 else self.most + 1 for j in range(-self.most, self.most + 1)), None, ""
 
     def step(self, state: tuple, c: str) -> tuple | None:
-        row, above, last = state
-        word, new = self.word, [row[0] + 1]
-        for j in range(1, len(word) + 1):
-            cost = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (word[j - 1] != c))
-            if above is not None and j > 1 and word[j - 1] == last and word[j - 2] == c:
-                cost = min(cost, above[j - 2] + 1)
-            new.append(cost)
+        depth, row, above, last = state
+        word, beyond, j, new = self.word, self.most + 1, depth - self.most, []
+        for b in range(self.size):  # the cell of the word's first j + 1 letters
+            cost = beyond
+            if j == -1:
+                cost = depth + 1
+            elif 0 <= j < len(word):
+                cost = row[b] + (word[j] != c)
+                if b and new[-1] < cost:
+                    cost = new[-1] + 1
+                if b + 1 < self.size and row[b + 1] < cost:
+                    cost = row[b + 1] + 1
+                if above is not None and j and word[j] == last and word[j - 1] == c and above[b] < cost:
+                    cost = above[b] + 1
+            new.append(min(cost, beyond))
+            j += 1
         if min(new) > self.most and min(row) > self.most:
             return None
-        return tuple(new), row, c
+        return depth + 1, tuple(new), row, c
 
     def distance(self, state: tuple) -> int:
-        return state[0][-1]
+        b = len(self.word) - state[0] + self.most
+        return state[1][b] if 0 <= b < self.size else self.most + 1
 
 
 class Trie:

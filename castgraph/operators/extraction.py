@@ -69,6 +69,7 @@ def links_in_order(value: str) -> list[tuple[int, str, str]]:
 def _plain_value(value: str) -> str:
     value = re.sub(r"<ref[^>]*/>|<ref[^>]*>.*?</ref>", "", value, flags=re.S | re.I)
     value = re.sub(r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", r"\1", value)
+    value = re.sub(r"\{\{[^{}|]*\|([^{}]*)\}\}", lambda m: "\n".join(p for p in m.group(1).split("|") if "=" not in p), value)  # a template's own parts
     return re.sub(r"'{2,}", "", re.sub(r"<br\s*/?>", "\n", value, flags=re.I))
 
 

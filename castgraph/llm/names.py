@@ -391,17 +391,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     links = edges.where(F.col("a") != F.col("b"))
     links = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    state = cut(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
+        labels = state.select("id", "root")
         near = links.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         lower = labels.join(near, "id").select("id", F.least("root", "near").alias("root"), F.col("root").alias("old"))
         jump = lower.select(F.col("id").alias("root"), F.col("root").alias("then"))
-        then = cut(lower.join(jump, "root", "left").select("id", F.least("root", F.coalesce("then", "root")).alias("root"), "old"))
-        changed = not then.where(F.col("root") != F.col("old")).isEmpty()
-        labels = then.select("id", "root")
-        if not changed:
-            break
-    return labels
+        after = cut(lower.join(jump, "root", "left").select("id", F.least("root", F.coalesce("then", "root")).alias("root"), "old"))
+        release(state)
+        state = after
+        if state.where(F.col("root") != F.col("old")).isEmpty():
+            release(links)
+            return state.select("id", "root")
 
 
 READ = "tokens array<string>, fullness int"
@@ -451,9 +452,10 @@ class Spellings:
 
 def prepare(people: DataFrame, campaigns: DataFrame, shows: DataFrame) -> Spellings:
     spelt, wiki = cut(person_spellings(people)), cut(mentions(campaigns))
-    shown = cut(shows.where(F.col("id").isNotNull()).select("id", "title").distinct())
-    cast = cut(known_shows(cut(person_shows(people)), shown))
-    return Spellings(spelt, cast, wiki, cut(campaign_shows(campaigns, shown)), _rarity(spelt.select("name").unionByName(wiki.select("name"))))
+    shown, credited = cut(shows.where(F.col("id").isNotNull()).select("id", "title").distinct()), cut(person_shows(people))
+    cast, pages = cut(known_shows(credited, shown)), cut(campaign_shows(campaigns, shown))
+    release(shown, credited)
+    return Spellings(spelt, cast, wiki, pages, _rarity(spelt.select("name").unionByName(wiki.select("name"))))
 
 
 def _by_all_shows(turned: DataFrame, of_people: DataFrame, cast: DataFrame) -> DataFrame:
@@ -476,8 +478,8 @@ def _by_all_shows(turned: DataFrame, of_people: DataFrame, cast: DataFrame) -> D
     return best.select("a", F.col("best.b").alias("b"))
 
 
-def attribute(people: DataFrame, given: Spellings) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between ids of one person, and (key, id) of wiki mentions and ids they mean.
+def attribute(given: Spellings) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Links (a, b) between ids of one person, (key, id) of wiki mentions and ids they mean, and the written tables both read.
 
     Everything is keyed by show: spellings that occur in a show are its nodes, however many records use them, and only nodes of one
     show that share a name key are compared. A hot show or name thus gives no group of all its pairs.
@@ -535,13 +537,16 @@ def attribute(people: DataFrame, given: Spellings) -> tuple[DataFrame, DataFrame
     named = judged.where("v_n_ids = 0").where(F.col("log_l") + math.log(NAMED_IN_SHOW) - F.log(F.greatest(F.col("cast_size"), F.lit(1))) - F.when(F.col("typo"), F.least("v_log_p", "c_log_p")).otherwise(F.col("v_log_p")) > 0)
     named = named.groupBy(F.col("v").alias("node")).agg(F.max(F.struct(F.col("log_l") + F.log("c_n_ids"), F.col("c_least").alias("least"))).alias("best")).select("node", "best.least")
     meant = of_wiki.withColumn("node", F.xxhash64("show", "name")).join(direct.unionByName(named), "node").select("key", F.col("least").alias("id")).distinct()
-    return links, meant
+    return links, meant, [of_people, of_wiki, nodes, pairs, judged, turned]
 
 
-def same_people(people: DataFrame, campaigns: DataFrame, shows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, root) of ids that are not alone, and (key, id) of the wiki mentions' attribution."""
-    links, meant = attribute(people, prepare(people, campaigns, shows))
-    return components(links), meant
+def same_people(people: DataFrame, campaigns: DataFrame, shows: DataFrame) -> DataFrame:
+    """(id, root) of ids that are not alone."""
+    given = prepare(people, campaigns, shows)
+    links, _, read = attribute(given)
+    groups = components(links)
+    release(*read, *vars(given).values())
+    return groups
 
 
 def by_whole_name(given: Spellings, rest: DataFrame, groups: DataFrame) -> DataFrame:
@@ -563,9 +568,10 @@ def person_links(people: DataFrame, campaigns: DataFrame, shows: DataFrame) -> D
     mentions that no show connects stay apart. Empty tables give no pair. Names of any length are read whole.
     """
     given = prepare(people, campaigns, shows)
-    links, meant = attribute(people, given)
-    groups, meant = components(links), cut(meant)
-    meant = cut(meant.unionByName(by_whole_name(given, given.wiki.join(meant.select("key").distinct(), "key", "left_anti"), groups)))
+    links, meant, read = attribute(given)
+    groups, by_shows = components(links), cut(meant)
+    meant = cut(by_shows.unionByName(by_whole_name(given, given.wiki.join(by_shows.select("key").distinct(), "key", "left_anti"), groups)))
+    release(by_shows, *read, *vars(given).values())
     other = groups.select(F.col("id").alias("b"), "root")
     of_ids = groups.select(F.col("id").alias("a"), "root").join(other, "root").where(F.col("a") < F.col("b"))
     roots = meant.join(groups, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))

@@ -37,7 +37,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def _survivors(spark: SparkSession, folder: str) -> DataFrame:
     people = table(spark, folder, "people")
-    groups, _ = names.same_people(people, table(spark, folder, "wiki_campaigns"), table(spark, folder, "shows"))
+    groups = names.same_people(people, table(spark, folder, "wiki_campaigns"), table(spark, folder, "shows"))
     return survivorship.best_representatives(people, groups)
 
 

@@ -450,3 +450,14 @@ def test_recall_and_precision_of_planted_programmes(spark):
 def test_matching_empty_tables(spark):
     empty = [spark.createDataFrame([], s) for s in (SHOWS, PEOPLE, "tconst string, titleType string, primaryTitle string, originalTitle string, startYear string", "tconst string, nconst string", "nconst string, primaryName string")]
     assert matching.match_programmes(*empty).count() == 0
+
+
+def test_only_the_tables_of_a_result_stay(spark, data):
+    from castgraph import session
+
+    session.clean(spark)
+    df = queries.p2_found(spark, data)
+    assert len(session._written) <= 4 and df.count() > 0
+    session.clean(spark)
+    df = queries.p4_found(spark, data)
+    assert len(session._written) <= 6 and df.count() >= 0

@@ -288,6 +288,19 @@ def _mapper(kind: str, rows: list[tuple]) -> Mapper:
     return Mapper(kind, sorted((game_entry(*r) if kind == "game" else field_entry(*r) for r in rows), key=lambda e: (e.name, e.id)))
 
 
+_workers: dict[tuple, tuple] = {}
+
+
+def _worker(kind: str, rows, use: str) -> tuple[Mapper, dict]:
+    """This worker's mapper of a broadcast list and the values it has mapped for a use; both outlive the task."""
+    key = kind, use, id(rows.value)
+    if key not in _workers:
+        if len(_workers) > 8:
+            _workers.clear()
+        _workers[key] = _mapper(kind, rows.value), {}, rows.value
+    return _workers[key][:2]
+
+
 CANDIDATES = "array<struct<id: string, name: string, edition: int, distance: int>>"
 
 
@@ -296,7 +309,7 @@ def candidates(values: Column, kind: str, rows, nearest: bool = False) -> Column
 
     @F.pandas_udf(CANDIDATES)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        mapper, known = _mapper(kind, rows.value), {}
+        mapper, known = _worker(kind, rows, "nearest" if nearest else "all")
         for part in parts:
             yield _each(part, known, lambda v: [dict(zip(("id", "name", "edition", "distance"), c)) for c in mapper.candidates(v, nearest)], [])
 
@@ -325,7 +338,7 @@ def mapped(df: DataFrame, column: str, kind: str, entries: DataFrame) -> DataFra
 
         @F.pandas_udf("string")
         def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            mapper, known = _mapper(kind, shared[0].value), {}
+            mapper, known = _worker(kind, shared[0], "meant")
             for part in parts:
                 yield _each(part, known, lambda v: resolve(kind, v, mapper.candidates(v, nearest=True)), UNMATCHED)
 

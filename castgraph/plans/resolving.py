@@ -212,14 +212,3 @@ def repeated_catalogue_titles(t: Tables) -> DataFrame:
 
     rows = t.get("title_basics").select(F.col("tconst").alias("id"), F.col("primaryTitle").alias("title"), F.array("titleType").alias("channels"))
     return audit.same_titles(rows).withColumnRenamed("key", "title_key")
-
-
-@query("SELECT DISTINCT tconst || ':' || part AS subject FROM (SELECT tconst, nconst, unnest(string_split(lower(array_to_string(CASE WHEN characters <> '\\N' AND json_valid(characters) AND json_type(characters) = 'ARRAY' THEN from_json(characters, '[\"VARCHAR\"]') ELSE [] END, ' / ')), ' / ')) AS part FROM title_principals) c JOIN name_basics n ON lower(n.primaryName) = c.part AND contains(trim(n.primaryName), ' ') WHERE n.nconst <> c.nconst")
-def catalogue_characters_named_like_people(t: Tables) -> DataFrame:
-    """The rule "a character is another person's name" over the catalogue."""
-    from castgraph.operators import audit
-
-    named = F.array_join(F.from_json(text.known("characters"), "array<string>"), " / ")
-    credits = t.get("title_principals").select(F.col("nconst").alias("person"), "tconst", F.lit(0).alias("rec_no"), F.lit(0).alias("pos"), named.alias("character"))
-    people = t.get("name_basics").select(F.col("nconst").alias("id"), F.col("primaryName").alias("canonical_name"))
-    return audit.named_characters(credits.select("person", "tconst", "character"), people).select(F.concat_ws(":", "tconst", "part").alias("subject")).distinct()

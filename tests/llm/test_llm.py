@@ -461,3 +461,38 @@ def test_only_the_tables_of_a_result_stay(spark, data):
     session.clean(spark)
     df = queries.p4_found(spark, data)
     assert len(session._written) <= 6 and df.count() >= 0
+
+
+def test_plain_names_are_read_without_the_normaliser(monkeypatch):
+    """p2: printable ASCII is its own consistent form, so nothing needs to look for characters to normalise."""
+
+    def fail():
+        raise AssertionError("a plain name was normalised")
+
+    monkeypatch.setattr(textnorm, "normaliser", fail)
+    monkeypatch.setattr(reflist, "normaliser", fail)
+    read = names.read_name.__wrapped__
+    assert read('Dr. Anna "Ace" O\'Neil-Poe (GM)').tokens == (("anna", "w"), ("oneilpoe", "w"))
+    assert read("Poe, A.").tokens == (("a", "i"), ("poe", "w")) and read("annaPoe").tokens == (("anna", "w"), ("poe", "w"))
+    assert read("@anna_poe77").handle == "annapoe" and not read("anna poe 1b").handle
+
+
+def test_other_planes_have_no_class_of_characters():
+    skipped = (p for p in range(0x80, 0x110000) if not any(p in plane for plane in textnorm.PLANES))
+    assert {unicodedata.category(chr(p)) for p in skipped} <= {"Cn", "Co"}
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_bounded_distance_is_that_of_the_whole_table(most):
+    def whole(a, b):
+        d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+        for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    r = random.Random(most)
+    for _ in range(3000):
+        a, b = ("".join(r.choices("abc", k=r.randint(0, 7))) for _ in "ab")
+        assert titles.swaps_distance.__wrapped__(a, b, most) == min(whole(a, b), most + 1), (a, b)

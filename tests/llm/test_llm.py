@@ -496,3 +496,18 @@ def test_bounded_distance_is_that_of_the_whole_table(most):
     for _ in range(3000):
         a, b = ("".join(r.choices("abc", k=r.randint(0, 7))) for _ in "ab")
         assert titles.swaps_distance.__wrapped__(a, b, most) == min(whole(a, b), most + 1), (a, b)
+
+
+def test_people_are_grouped_without_comparing_mentions(spark):
+    """p3: the links of people are the same if spellings only a wiki has are compared with none."""
+    people, shows, wiki, kind = _world()
+    people.append(person(900, "a9", canonical_name="Robbin Valemont", credits=[credit("s1", 1)]))
+    tables = spark.createDataFrame(people, PEOPLE), spark.createDataFrame(wiki, kind), spark.createDataFrame(shows, SHOWS)
+    given = names.prepare(*tables)
+    (all_links, _, all_read), (links, meant, read) = names.attribute(given), names.attribute(given, with_mentions=False)
+    assert {tuple(x) for x in links.collect()} == {tuple(x) for x in all_links.collect()} != set()
+    (_, _, nodes, pairs, *_), meets = read, lambda p: {tuple(x) for x in p.select("v", "c").collect()}
+    only_wiki = {x.node for x in nodes.where("n_ids = 0").collect()}
+    assert meant is None and only_wiki and not only_wiki & {n for pair in meets(pairs) for n in pair} and meets(pairs) < meets(all_read[3])
+    groups = {tuple(x) for x in names.same_people(*tables).collect()}
+    assert groups >= {("a1", "a1"), ("a2", "a1")}

@@ -511,3 +511,12 @@ def test_people_are_grouped_without_comparing_mentions(spark):
     assert meant is None and only_wiki and not only_wiki & {n for pair in meets(pairs) for n in pair} and meets(pairs) < meets(all_read[3])
     groups = {tuple(x) for x in names.same_people(*tables).collect()}
     assert groups >= {("a1", "a1"), ("a2", "a1")}
+
+
+def test_words_that_are_equal_or_of_unlike_length_are_not_measured(monkeypatch):
+    """p4: the distance table was filled for every word of one title and every word of the other."""
+    asked, distance = [], titles.swaps_distance
+    monkeypatch.setattr(titles, "swaps_distance", lambda a, b, most: asked.append((a, b)) or distance(a, b, most))
+    assert titles.similarity("Silver Harbour Lantern Road", "Silver Harbour Lantern Road") == 1.0 and asked == []
+    assert titles.similarity("Lantern Harbuor", "Silver Harbour Lantern") == pytest.approx(0.55 + 0.3 * 2 / 3 - 0.03)
+    assert asked == [("harbuor", "silver"), ("harbuor", "harbour")]

@@ -126,7 +126,7 @@ def feed_matches(t: Tables) -> DataFrame:
     """Series of a feed (here the titles of wiki pages) and the first of our shows that has the title, contains it, or is nearly it."""
     feed = t.get("wiki_campaigns").where("title IS NOT NULL").select("campaign_id", filters.bare_title(filters.series_of_episode("title"), "feed").alias("key"))
     shows = t.shows.where("title IS NOT NULL").select("id", filters.bare_title("title", "feed").alias("key"))
-    return linking.near_titles(feed, "campaign_id", shows, "id").groupBy("campaign_id").agg(F.min("id").alias("show"))
+    return linking.first_near(feed, "campaign_id", shows, "id").withColumnRenamed("id", "show")
 
 
 @query()

@@ -100,6 +100,20 @@ def test_near_titles_equal_brute_force(spark):
     assert {tuple(x) for x in got} == expected and len(got) == len(expected)
 
 
+
+def test_parts_of_titles_are_never_broadcast(spark):
+    left = spark.range(20).selectExpr("id AS l", "concat('the copper bells of greywater ', id) AS key")
+    right = spark.range(20).selectExpr("concat('s', id) AS r", "CASE WHEN id < 10 THEN 'copper bells' ELSE concat('the copper bell of greywater ', id) END AS key")
+    met = linking.near_titles(left, "l", right, "r")
+    assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
+    least: dict = {}
+    for x in met.collect():
+        least[x["l"]] = min(x["r"], least.get(x["l"], x["r"]))
+    first = linking.first_near(left, "l", right, "r")
+    assert "BroadcastHashJoin" not in first._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(x) for x in first.collect()} == set(least.items()) == {(i, "s0") for i in range(20)}
+
+
 def test_playlists_are_assigned_to_seasons(spark):
     seasons = [("s", "Tin Lantern", 1, "Fantasy High", 17, None), ("s", "Tin Lantern", 2, "Fantasy High: Part Two", 20, None), ("s", "Tin Lantern", 3, "Ash", None, None), ("s", "Tin Lantern", 4, "Unsleeping", 10, "p9"), ("s", "Tin Lantern", 5, "Ember", 5, None), ("s", "Tin Lantern", 6, None, 5, None), ("t", "Bells", 1, "Copper", 4, None), ("t", "Bells", 2, "Copper", 4, None)]
     playlists = [("s", "p1", "Tin Lantern: Fantasy High", 18), ("s", "p2", "Fantasy High Extra Credit", 17), ("s", "p3", "Ash and more", 43), ("s", "p9", "Unsleeping", 10), ("s", "p4", "Ember", 90), ("t", "q1", "Copper", 4)]
